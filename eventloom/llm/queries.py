@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import licenses, merkle, packing, simhash
+from eventloom.llm import licenses, linededup, merkle, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": linededup.op2_line_dedup,
     "op5_packing": packing.op5_packing,
     "op7_licenses": licenses.op7_licenses,
     "op9_simhash": simhash.op9_simhash,
     "op10_merkle": merkle.op10_merkle,
 }
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": linededup.OP2_SQL,
     "op7_licenses": licenses.OP7_SQL,
 }
