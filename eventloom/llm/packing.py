@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 _SPACE = re.compile("[\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
+#: Characters for which a chunk goes to the tokenizer whole.
+_UNPLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
 _BLOCK_CHARS = 1 << 20
 
 
@@ -34,39 +39,54 @@ def split_chunks(text: str) -> list[str]:
 
 
 class ChunkEncoder:
-    """Ids of whole texts, from ids of their chunks, each encoded once.
+    """Ids of whole texts (bytes of little-endian unsigned 32-bit numbers), from ids of their chunks, each encoded once.
 
     The vocabulary's pre-tokenizer drops white space and none of its patterns reaches across it, and its normaliser works on
-    chunks alone, so a text's ids are its chunks' ids one after another. The table holds `limit` chunks and is then begun anew.
+    chunks alone, so a text's ids are its chunks' ids one after another. A chunk of plain Latin letters and ASCII is lowered
+    and parted by the vocabulary's own pattern here, and only words not met before go to the tokenizer; any other chunk goes
+    to it whole. The table keeps the first `limit` chunks; later ones are kept until there are `extra` of them.
     """
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = 1_200_000, extra: int = 200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.starts, self.lens, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-        self.used = 0
+        self.whole, self.limit, self.extra = Tokenizer.from_file(path), limit, extra
+        self.index: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.later: list[str] = []
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.pattern = None
+        if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and spec["post_processor"] is None:
+            self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            spec |= {"normalizer": None, "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][1], "added_tokens": []}
+            self.single = Tokenizer.from_str(json.dumps(spec))
 
     @staticmethod
-    def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if len(a) >= n else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
+    def _ids(tokenizer, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        for e, c in zip(self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), chunks, strict=True):
-            ids, k = e.ids, len(self.index)
-            self.index[c] = k
-            self.starts, self.lens, self.flat = self._room(self.starts, k + 1), self._room(self.lens, k + 1), self._room(self.flat, self.used + len(ids))
-            self.starts[k], self.lens[k] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-
-    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        """Each text's ids, as unsigned 32-bit numbers."""
+        if len(self.words) > self.limit:
+            self.words.clear()
+        parts, odd = {}, []
+        for c in chunks:
+            if self.pattern is None or _UNPLAIN.search(c) or "<|" in c:
+                odd.append(c)
+            else:
+                parts[c] = self.pattern.findall(c.lower())
+        new = list(set().union(*parts.values()).difference(self.words))
+        if new:
+            self.words.update(zip(new, self._ids(self.single, new), strict=True))
+        word = self.words.__getitem__
+        self.index.update({c: b"".join(map(word, p)) for c, p in parts.items()})
+        self.index.update(zip(odd, self._ids(self.whole, odd), strict=True))
+        if len(self.index) > self.limit:
+            self.later += chunks
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         block: list[list[str]] = []
         size = 0
         for t in texts:
@@ -77,18 +97,17 @@ class ChunkEncoder:
                 block, size = [], 0
         yield from self._block(block)
 
-    def _block(self, block: list[list[str]]) -> Iterator[np.ndarray]:
-        if len(self.index) > self.limit:
-            self._clear()
+    def _block(self, block: list[list[str]]) -> Iterator[bytes]:
+        if len(self.later) > self.extra:
+            for c in self.later:
+                del self.index[c]
+            self.later = []
         new = set().union(*block).difference(self.index)
         if new:
             self._learn(list(new))
+        chunk = self.index.__getitem__
         for words in block:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            n = self.lens[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            yield self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(total)]
+            yield b"".join(map(chunk, words))
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -103,15 +122,15 @@ def encoder(path: str) -> ChunkEncoder:
 
 def _pieces(path: str, size: int, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, end = encoder(path), array("I", [end_id]).tobytes()
         for b in batches:
             docs, starts, lengths, crcs, totals = [], [], [], [], []
             ids_of = enc.encode((t.as_py() or "") for t in b.column(1))
             for doc, ids in zip(b.column(0).to_pylist(), ids_of, strict=True):
-                whole = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for at in range(0, len(whole), size):
-                    part = whole[at : at + size]
-                    docs.append(doc), starts.append(at), lengths.append(len(part)), crcs.append(zlib.crc32(part.tobytes())), totals.append(len(whole))
+                whole = ids + end
+                for at in range(0, len(whole), 4 * size):
+                    part = whole[at : at + 4 * size]
+                    docs.append(doc), starts.append(at // 4), lengths.append(len(part) // 4), crcs.append(zlib.crc32(part)), totals.append(len(whole) // 4)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, starts, lengths, crcs, totals)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
