@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import licenses, linededup, merkle, packing, simhash
+from eventloom.llm import covertree, licenses, linededup, merkle, packing, quality, simhash, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": covertree.op1_top_k,
     "op2_line_dedup": linededup.op2_line_dedup,
+    "op3_token_counts": tokencounts.op3_token_counts,
     "op5_packing": packing.op5_packing,
+    "op6_quality": quality.op6_quality,
     "op7_licenses": licenses.op7_licenses,
     "op9_simhash": simhash.op9_simhash,
     "op10_merkle": merkle.op10_merkle,
 }
 ORACLES: dict[str, str] = {
+    "op1_top_k": covertree.OP1_SQL,
     "op2_line_dedup": linededup.OP2_SQL,
     "op7_licenses": licenses.OP7_SQL,
 }
