@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import covertree, licenses, linededup, merkle, packing, quality, simhash, tokencounts
+from eventloom.llm import covertree, licenses, linededup, merkle, packing, quality, simhash, tokencounts, unigram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": covertree.op1_top_k,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": packing.op5_packing,
     "op6_quality": quality.op6_quality,
     "op7_licenses": licenses.op7_licenses,
+    "op8_sentencepiece": unigram.op8_sentencepiece,
     "op9_simhash": simhash.op9_simhash,
     "op10_merkle": merkle.op10_merkle,
 }
