@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import covertree, licenses, linededup, merkle, packing, quality, simhash, tokencounts, unigram
+from eventloom.llm import covertree, licenses, linededup, merkle, packing, pseudolm, quality, simhash, tokencounts, unigram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": covertree.op1_top_k,
     "op2_line_dedup": linededup.op2_line_dedup,
     "op3_token_counts": tokencounts.op3_token_counts,
+    "op4_pseudo_likelihood": pseudolm.op4_pseudo_likelihood,
     "op5_packing": packing.op5_packing,
     "op6_quality": quality.op6_quality,
     "op7_licenses": licenses.op7_licenses,
