@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import read
+from eventloom.llm.common import materialize, read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _BLOCK = 1024
@@ -55,6 +55,7 @@ def length_table(lengths: DataFrame) -> DataFrame:
     task sorts all lengths. Empty input: empty table.
     """
     hist = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("block", F.floor(F.col("length") / _BLOCK))
+    hist = materialize(hist, "lengths")
     totals = hist.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum(F.col("n_docs") * F.col("length")).alias("bt"))
     over = W.orderBy("block")
     before = over.rowsBetween(W.unboundedPreceding, -1)
