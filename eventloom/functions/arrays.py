@@ -59,7 +59,7 @@ def first(x: Column | str) -> Column:
 
 
 def last(x: Column | str) -> Column:
-    return F.element_at(col(x), -1)
+    return F.try_element_at(col(x), F.lit(-1))
 
 
 def tail(x: Column | str) -> Column:

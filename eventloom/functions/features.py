@@ -104,7 +104,7 @@ def kurt(x: Column) -> Column:
 
 @feature
 def mean_diff(x: Column) -> Column:
-    return F.try_divide(F.element_at(x, -1) - F.get(x, 0), F.size(x) - 1)
+    return F.try_divide(F.try_element_at(x, F.lit(-1)) - F.get(x, 0), F.size(x) - 1)
 
 
 @feature
