@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import materialize, read, release
+from eventloom.llm.common import read
 
 #: Ids: the most frequent words, then buckets of all others by the hash of their last three characters; then one for places outside a text.
 VOCABULARY = 2048
@@ -227,16 +227,22 @@ class ScoringModel:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the words met, each in one or more rows; the empty word stands for all words."""
     counts: dict[str, int] = {}
+
+    def rows() -> pa.RecordBatch:
+        counts[""] = sum(counts.values())
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
     for b in batches:
         for text in b.column(1):
             for w in words_of(text.as_py()):
                 counts[w] = counts.get(w, 0) + 1
             if len(counts) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-                counts = {}
+                yield rows()
+                counts.clear()
     if counts:
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        yield rows()
 
 
 def train(docs: DataFrame, rounds: int = 1, rate: float = 0.1) -> ScoringModel:
@@ -247,11 +253,11 @@ def train(docs: DataFrame, rounds: int = 1, rate: float = 0.1) -> ScoringModel:
     are taken on the map side, and what comes to the driver is one network. `rounds` repeats this from the average.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counts = materialize(texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    release(docs.sparkSession)
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS).collect()
+    counts = texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # the empty word has the count of all, so it comes first
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS + 1).collect()
+    total, top = (top[0]["n"], top[1:]) if top else (0, [])
     words = [r["word"] for r in top]
-    total = counts.agg(F.sum("n")).first()[0] or 0
     n = np.zeros(VOCABULARY)
     n[: len(top)] = [r["n"] for r in top]
     n[VOCABULARY - BUCKETS :] = max(0, total - n.sum()) / BUCKETS
