@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark then removes the shuffle files of a query at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -28,24 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: this cuts the lineage, and a lost executor costs no recomputation.
 
-    The files go when the driver's JVM ends.
+    What the write has shuffled goes when it has ended, where Spark can do that, and the table when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    known, before = spark.conf.isModifiable(_CLEANUP), spark.conf.get(_CLEANUP, None)
+    try:
+        if known:
+            spark.conf.set(_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if known and before is None:
+            spark.conf.unset(_CLEANUP)
+        elif known:
+            spark.conf.set(_CLEANUP, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver drop the shuffle files of plans that nothing refers to any more, which it otherwise does when it happens to
-    collect its garbage: a long job then holds one step's files at a time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession
