@@ -113,7 +113,11 @@ def brute_lines(docs, t=0.8):
     return gone
 
 
-def test_line_dedup_brute_force(spark):
+@pytest.mark.parametrize("settings", [{}, {"_NEAR": 1}, {"_MARGIN": -1000}, {"_MARGIN": -1000, "_FEW": 0}])
+def test_line_dedup_brute_force(spark, monkeypatch, settings):
+    """Also where near copies are chained first, and where what is chained turns out not to be alike."""
+    for k, v in settings.items():
+        monkeypatch.setattr(linededup, k, v)
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(60)]
     base = [rng.choice(words, 3 + k % 70).tolist() for k in range(40)]
