@@ -166,12 +166,18 @@ def held_out(folds: int = 5):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
 
 
-def fit(measured: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> PairGam:
-    """Fit on labelled rows outside the held-out fold, at most `max_labelled` of them. Several labels of a document count as their
-    mean, from 0.5 on as 1; labels of null are left out; without labels the model gives 0.5 to all."""
+def chosen_labels(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, good) of at most `most` labelled documents outside the held-out fold, those with the smallest hashes. Several labels of a
+    document count as their mean, from 0.5 on as 1; labels of null are left out."""
     marks = labels.select(F.col("doc_id").cast("long"), "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
-    rows = measured.where(~held_out()).join(marks, "doc_id").select("features", "good", F.xxhash64("doc_id").alias("at")).orderBy("at").limit(max_labelled)
-    got = rows.select("features", "good").toArrow()
+    return marks.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def fit(measured: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> PairGam:
+    """Fit on the chosen labels; these are as few as `max_labelled`, so they are broadcast. Of documents with one doc_id one is learnt from;
+    without labels the model gives 0.5 to all."""
+    rows = measured.join(F.broadcast(chosen_labels(labels, max_labelled)), "doc_id")
+    got = rows.groupBy("doc_id").agg(F.min("features").alias("features"), F.max("good").alias("good")).orderBy("doc_id").toArrow()
     x = np.array(got["features"].to_pylist(), float).reshape(-1, len(FEATURES))
     return PairGam().fit(x, np.array(got["good"].to_pylist(), float))
 
@@ -210,7 +216,7 @@ def _judge(model: PairGam):
 def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The rows of docs, as they are, whose score is at least THRESHOLD. The fit reads labelled documents only."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = texts.join(labels.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    known = texts.join(F.broadcast(chosen_labels(labels, max_labelled).select("doc_id")), "doc_id")
     model = fit(materialize(features(known), "features"), labels, max_labelled)
     return docs.mapInArrow(_judge(model), docs.schema)
 
