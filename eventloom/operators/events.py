@@ -312,6 +312,21 @@ def sequential_split(df: DataFrame, key: str, shares: Sequence[float] = (0.8, 0.
     return numbered.join(F.broadcast(n), how="cross").withColumn("split", out).drop("_c", "_i", "_n")
 
 
+def ranked(df: DataFrame, column: str, key: str, out: str, pieces: int = 64) -> DataFrame:
+    """Places from 0 in the order of a number column (ties by key, NULL first), without a sort of all rows in one task: the column is cut at
+    approximate quantiles, pieces are numbered side by side, and each starts where those before it end."""
+    cuts = df.agg(F.percentile_approx(column, [k / pieces for k in range(1, pieces)], 10 * pieces).alias("c")).first()["c"] or []
+    piece = F.size(F.filter(F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))), lambda c: c < F.col(column))) if cuts else F.lit(0)
+    cut = df.withColumn("_piece", F.when(F.col(column).isNull(), 0).otherwise(piece))
+    before = W.partitionBy(F.lit(0)).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    starts = cut.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return cut.join(starts, "_piece").withColumn(out, F.col("_start") + F.row_number().over(W.partitionBy("_piece").orderBy(column, key)) - 1).drop("_piece", "_start")
+
+
 def contrasts(df: DataFrame, column: str, bins: int, key: str) -> DataFrame:
-    """`contrast`: ntile of a column (ties by key)."""
-    return df.withColumn("contrast", F.ntile(bins).over(W.orderBy(column, key)))
+    """`contrast`: equal-sized classes of a number column from 1 (ties by key); the first classes take what is over."""
+    out = ranked(df, column, key, "_r").join(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))), how="cross")
+    q, m = F.floor(F.col("_n") / bins), F.col("_n") % bins
+    big = m * (q + 1)
+    tile = F.when(F.col("_r") < big, F.floor(F.col("_r") / (q + 1))).otherwise(m + F.floor(F.try_divide(F.col("_r") - big, q)))
+    return out.withColumn("contrast", (tile + 1).cast("int")).drop("_r", "_n")

@@ -11,8 +11,29 @@ from pyspark.sql import functions as F
 from eventloom.functions import arrays as A
 
 
+def all_pairs(df: DataFrame, key: str = "id", value: str = "trace", tiles: int = 16) -> DataFrame:
+    """(i, j, x, y) for all i < j: rows are dealt to tiles, and each pair of tiles is one equi-join group, so that no side is held whole."""
+    t = F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int")
+    one = df.select(F.col(key).alias("a"), F.col(value).alias("va"), t.alias("ta")).withColumn("tb", F.explode(F.sequence("ta", F.lit(tiles - 1))))
+    two = df.select(F.col(key).alias("b"), F.col(value).alias("vb"), t.alias("tb")).withColumn("ta", F.explode(F.sequence(F.lit(0), "tb")))
+    met = one.join(two, ["ta", "tb"]).where((F.col("ta") < F.col("tb")) | (F.col("a") < F.col("b")))
+    first = F.col("a") < F.col("b")
+    return met.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), F.when(first, F.col("va")).otherwise(F.col("vb")).alias("x"), F.when(first, F.col("vb")).otherwise(F.col("va")).alias("y"))
+
+
+def pearson_matrix(df: DataFrame, key: str = "id", trace: str = "trace") -> DataFrame:
+    """(i, j, r) for all i < j of traces of one length: each is centered and scaled once, a pair is then one inner product."""
+    unit = A.let(A.let(A.mean(trace), lambda m: F.transform(trace, lambda v: v - m)), lambda c: A.let(F.sqrt(A.dot(c, c)), lambda s: F.transform(c, lambda v: F.try_divide(v, s))))
+    return all_pairs(df.select(key, unit.alias("u")), key, "u").select("i", "j", A.dot("x", "y").alias("r"))
+
+
+def euclidean_matrix(df: DataFrame, key: str = "id", trace: str = "trace") -> DataFrame:
+    gap = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
+    return all_pairs(df, key, trace).select("i", "j", F.sqrt(gap).alias("d"))
+
+
 def pearson_pairs(pairs: DataFrame) -> DataFrame:
-    """(i, j, r) of (i, j, x, y)."""
+    """(i, j, r) of given pairs (i, j, x, y)."""
     return pairs.select("i", "j", A.pearson("x", "y").alias("r"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -175,6 +175,21 @@ def dtw(a: np.ndarray, b: np.ndarray, window: int | None = None, slope: float |
     return float(np.sqrt(acc[n, m]) if local is None else acc[n, m])
 
 
+def dtw_many(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """dtw of one trace with many at once: all their tables are filled together, and each is read at its own length."""
+    n, m = len(a), max(map(len, others))
+    grid = np.zeros((len(others), m))
+    for k, o in enumerate(others):
+        grid[k, : len(o)] = o
+    acc = np.full((n + 1, m + 1, len(others)), np.inf)
+    acc[0, 0] = 0
+    for d in range(2, n + m + 1):
+        r = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        c = d - r
+        acc[r, c] = (a[r - 1, None] - grid[:, c - 1].T) ** 2 + np.minimum(np.minimum(acc[r - 1, c], acc[r, c - 1]), acc[r - 1, c - 1])
+    return np.sqrt(acc[n, [len(o) for o in others], np.arange(len(others))])
+
+
 #: Local dissimilarities by name, of broadcast values.
 LOCAL: dict[str, Callable] = {
     "euclidean": lambda a, b: np.abs(a - b), "sqeuclidean": lambda a, b: (a - b) ** 2, "cityblock": lambda a, b: np.abs(a - b), "chebyshev": lambda a, b: np.abs(a - b),
@@ -192,20 +207,28 @@ def tiled_pairs(df: DataFrame, key: str = "id", value: str = "trace", tiles: int
     return d.select(F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"), (F.col("t") > F.col("o")).cast("int").alias("side"), "key", "value")
 
 
-def pair_distances(df: DataFrame, key: str = "id", value: str = "trace", tiles: int = 8, measure: Callable[[np.ndarray, np.ndarray], float] = dtw) -> DataFrame:
-    """(i, j, d) for all i < j."""
+def pair_distances(df: DataFrame, key: str = "id", value: str = "trace", tiles: int = 8, measure: Callable[[np.ndarray, np.ndarray], float] | None = None) -> DataFrame:
+    """(i, j, d) for all i < j: dynamic time warping, or a measure of two traces. An empty trace has no distance (NaN)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["ti"].iloc[0] == pdf["tj"].iloc[0]
         vec = [np.asarray(v, float) for v in pdf["value"]]
-        keys, side = pdf["key"].tolist(), pdf["side"].tolist()
+        keys, side = pdf["key"].to_numpy(), pdf["side"].to_numpy()
         out = []
         for a in range(len(keys)):
-            for b in range(len(keys)):
-                if (keys[a] < keys[b]) if same else (side[a] == 0 and side[b] == 1):
-                    i, j = (a, b) if keys[a] < keys[b] else (b, a)
-                    out.append((keys[i], keys[j], measure(vec[i], vec[j])))
-        return pd.DataFrame(out, columns=["i", "j", "d"])
+            with_ = np.flatnonzero(keys > keys[a]) if same else np.flatnonzero(side == 1) if side[a] == 0 else np.empty(0, int)
+            if not len(with_):
+                continue
+            if measure is not None:
+                d = np.array([measure(vec[a], vec[b]) for b in with_])
+            else:
+                full = [b for b in with_ if len(vec[b]) and len(vec[a])]
+                d = np.full(len(keys), np.nan)
+                for s in range(0, len(full), 256):
+                    d[full[s : s + 256]] = dtw_many(vec[a], [vec[b] for b in full[s : s + 256]])
+                d = d[with_]
+            out.append(pd.DataFrame({"i": np.minimum(keys[a], keys[with_]), "j": np.maximum(keys[a], keys[with_]), "d": d}))
+        return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "d": []})
 
     return tiled_pairs(df, key, value, tiles).groupBy("ti", "tj").applyInPandas(run, "i long, j long, d double")
 
@@ -270,48 +293,42 @@ def flat_clusters(merges: np.ndarray, n: int, cutoff: float, criterion: str = "d
     return np.array([names.setdefault(root(i), len(names) + 1) for i in range(n)])
 
 
-def barycenter(traces: list[np.ndarray], rounds: int = 10) -> np.ndarray:
-    """DTW barycenter averaging, from the medoid."""
-    if not traces:
-        return np.empty(0)
-    spread = [sum(dtw(a, b) for b in traces) for a in traces]
-    center = np.array(traces[int(np.argmin(spread))], float)
-    for _ in range(rounds):
-        sums, counts = np.zeros(len(center)), np.zeros(len(center))
-        for t in traces:
-            n, m = len(center), len(t)
-            acc = np.full((n + 1, m + 1), np.inf)
-            acc[0, 0] = 0
-            for i in range(1, n + 1):
-                for j in range(1, m + 1):
-                    acc[i, j] = (center[i - 1] - t[j - 1]) ** 2 + min(acc[i - 1, j], acc[i, j - 1], acc[i - 1, j - 1])
-            i, j = n, m
-            while i and j:
-                sums[i - 1] += t[j - 1]
-                counts[i - 1] += 1
-                i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda p: acc[p])
-        new = sums / np.maximum(counts, 1)
-        if np.allclose(new, center):
-            break
-        center = new
-    return center
-
+def warped_sums(center: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts of a trace's samples at each sample of the center that its warping path goes through."""
+    n, m = len(center), len(t)
+    cost = np.subtract.outer(center, t) ** 2
+    acc = np.full((n + 1, m + 1), np.inf)
+    acc[0, 0] = 0
+    for k in range(2, n + m + 1):
+        r = np.arange(max(1, k - m), min(n, k - 1) + 1)
+        c = k - r
+        acc[r, c] = cost[r - 1, c - 1] + np.minimum(np.minimum(acc[r - 1, c], acc[r, c - 1]), acc[r - 1, c - 1])
+    sums, counts = np.zeros(n), np.zeros(n)
+    i, j = n, m
+    while i and j:
+        sums[i - 1] += t[j - 1]
+        counts[i - 1] += 1
+        i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda p: acc[p])
+    return sums, counts
 
-def barycenters(df: DataFrame, cluster: str = "cluster", key: str = "id", trace: str = "trace", rounds: int = 10, most: int = 200) -> DataFrame:
-    """(cluster, n, trace) by DTW averaging. A mean is taken over at most `most` members, those with the smallest hashed keys: it is a sampling
-    operator, and n counts all members."""
-    from pyspark.sql import Window as W
 
-    w = W.partitionBy(cluster).orderBy(F.xxhash64(key), key)
-    sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
-    some = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).join(sizes, cluster)
+def barycenters(df: DataFrame, cluster: str = "cluster", key: str = "id", trace: str = "trace", rounds: int = 10) -> DataFrame:
+    """(cluster, n, trace) by DTW barycenter averaging, from the member with the smallest key. Each round warps every member to its center where
+    it is, and sums are aggregated by cluster and place: no cluster is gathered in one task."""
+    sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.min_by(trace, key).alias("center"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        return pd.DataFrame({cluster: pdf[cluster].iloc[:1], "n": pdf["n"].iloc[:1], trace: [barycenter([np.asarray(t, float) for t in pdf[trace]], rounds).tolist()]})
+    def warp(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            got = [warped_sums(np.asarray(c, float), np.asarray(t, float)) for c, t in zip(pdf["center"], pdf["t"], strict=True)]
+            yield pd.DataFrame({"c": pdf["c"], "sums": [s.tolist() for s, _ in got], "counts": [k.tolist() for _, k in got]})
 
     kind = df.schema[cluster].dataType.simpleString()
-    return some.select(cluster, key, trace, "n").groupBy(cluster).applyInPandas(run, f"{cluster} {kind}, n long, {trace} array<double>")
+    centers = sizes
+    for _ in range(rounds):
+        near = df.select(F.col(cluster).alias("c"), F.col(trace).alias("t")).where(F.size("t") > 0).join(centers.select(F.col(cluster).alias("c"), "center"), "c").mapInPandas(warp, f"c {kind}, sums array<double>, counts array<double>")
+        places = near.select("c", F.posexplode(F.arrays_zip("sums", "counts")).alias("p", "v")).groupBy("c", "p").agg((F.sum("v.sums") / F.sum("v.counts")).alias("v"))
+        centers = places.groupBy(F.col("c").alias(cluster)).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda r: r["v"]).alias("center"))
+    return sizes.select(cluster, "n").join(centers.select(cluster, F.col("center").alias(trace)), cluster)
 
 
 def modularity_communities(edges: list[tuple[int, int]]) -> dict[int, int]:

@@ -9,6 +9,7 @@ from eventloom.functions import arrays as A
 from eventloom.functions import features as feat
 from eventloom.functions import normalize as N
 from eventloom.operators import events as E
+from eventloom.operators.graph import all_pairs
 from eventloom.plans.registry import query, r6, s6
 from eventloom.sources.adapters import Tables
 from eventloom.sources.storage import suffix_number
@@ -71,16 +72,16 @@ def to_long_traces(t: Tables) -> DataFrame:
     return E.to_long(t.traces_nan(), "id").withColumn("value", r6("value"))
 
 
-_PLACED = "select id, id % 40 as z0, len(trace) as dz, trace, cluster from traces_ragged where id < 60"
+_PLACED = "select id, id % 40 as z0, len(trace) as dz, trace, cluster from traces_ragged"
 
 
 def _placed(t: Tables) -> DataFrame:
-    return t.traces_ragged().where("id < 60").select("id", (F.col("id") % 40).alias("z0"), F.size("trace").alias("dz"), "trace", "cluster")
+    return t.traces_ragged().select("id", (F.col("id") % 40).alias("z0"), F.size("trace").alias("dz"), "trace", "cluster")
 
 
-@query(f"with p as ({_PLACED}) select id, f.i as frame, {s6('trace[f.i - z0 + 1]')} as v from p, (select unnest(range(80)) as i) f where f.i >= z0 and f.i < z0 + dz", "traces_ragged")
+@query(f"with p as ({_PLACED}) select id, f.i as frame, {s6('trace[f.i - z0 + 1]')} as v from p, (select unnest(range(110)) as i) f where f.i >= z0 and f.i < z0 + dz", "traces_ragged")
 def to_dense_spine(t: Tables) -> DataFrame:
-    dense = E.to_dense(_placed(t), 80, "id").select("id", F.posexplode("dense").alias("frame", "v")).where("v is not null")
+    dense = E.to_dense(_placed(t), 110, "id").select("id", F.posexplode("dense").alias("frame", "v")).where("v is not null")
     return dense.select("id", F.col("frame").cast("long").alias("frame"), r6("v").alias("v"))
 
 
@@ -449,6 +450,6 @@ def numeric_suffix_order(t: Tables) -> DataFrame:
     return t.table("customer").select(F.col("c_name").alias("name"), suffix_number("c_name", "#").alias("number")).orderBy("number")
 
 
-@query(f"select i.id as i, j.id as j, {s6('list_dot_product(i.trace, j.trace)')} as d from traces_equal i join traces_equal j on i.id < j.id where i.id < 60 and j.id < 60", "traces_equal")
+@query(f"select i.id as i, j.id as j, {s6('list_dot_product(i.trace, j.trace)')} as d from traces_equal i join traces_equal j on i.id < j.id", "traces_equal")
 def dot_pairs(t: Tables) -> DataFrame:
-    return t.pairs().select("i", "j", r6(A.dot("x", "y")).alias("d"))
+    return all_pairs(t.traces_equal()).select("i", "j", r6(A.dot("x", "y")).alias("d"))

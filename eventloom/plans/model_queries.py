@@ -12,46 +12,39 @@ from eventloom.operators.events import sequential_split
 from eventloom.plans.registry import query, r6, s6
 from eventloom.sources.adapters import Tables
 
-_R = "(list_sum(list_transform(range(1, len(x) + 1), lambda k: (x[k] - list_sum(x) / len(x)) * (y[k] - list_sum(y) / len(y)))) / sqrt(list_sum(list_transform(x, lambda v: (v - list_sum(x) / len(x)) ** 2)) * list_sum(list_transform(y, lambda v: (v - list_sum(y) / len(y)) ** 2))))"
-_RS = f"rs as (select i, j, {_R} as r from pairs)"
-
-
 def _r(t: Tables) -> DataFrame:
-    return G.pearson_pairs(t.pairs())
+    return G.pearson_matrix(t.traces_equal())
 
 
-@query(f"select i, j, {s6(_R)} as r from pairs", "pairs")
+@query(f"select i, j, {s6('r')} as r from rs", "rs")
 def pearson_pairs(t: Tables) -> DataFrame:
     return _r(t).select("i", "j", r6("r").alias("r"))
 
 
-@query(f"with {_RS} select b.i as bin, count(r) as n from range(20) b(i) left join rs on least(floor((r + 1) / 0.1)::bigint, 19) = b.i and r between -1 and 1 group by b.i", "pairs")
+@query(f"select b.i as bin, count(r) as n from range(20) b(i) left join rs on least(floor((r + 1) / 0.1)::bigint, 19) = b.i and r between -1 and 1 group by b.i", "rs")
 def corr_histogram(t: Tables) -> DataFrame:
     return G.histogram(_r(t), "r", -1, 1, 20)
 
 
-@query(f"with {_RS}, h as (select b.i as bin, count(r) as n from range(20) b(i) left join rs on least(floor((r + 1) / 0.1)::bigint, 19) = b.i group by b.i) select bin, n, {s6('sum(n) over (order by bin desc) / sum(n) over ()')} as share from h", "pairs")
+@query(f"with h as (select b.i as bin, count(r) as n from range(20) b(i) left join rs on least(floor((r + 1) / 0.1)::bigint, 19) = b.i group by b.i) select bin, n, {s6('sum(n) over (order by bin desc) / sum(n) over ()')} as share from h", "rs")
 def corr_cumulative(t: Tables) -> DataFrame:
     h = G.reverse_cumulative(G.histogram(_r(t), "r", -1, 1, 20))
     return h.select("bin", "n", r6("share").alias("share"))
 
 
-_DS = "ds as (select i, j, sqrt(list_sum(list_transform(range(1, len(x) + 1), lambda k: (x[k] - y[k]) ** 2))) as d from pairs)"
-
-
 def _d(t: Tables) -> DataFrame:
-    return t.pairs().select("i", "j", F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)).alias("d"))
+    return G.euclidean_matrix(t.traces_equal())
 
 
 def _similar(method: str, formula: str, *, biggest: bool = False):
-    sql = f"with {_DS} select i, j, {s6(formula)} as s from ds" + (", (select max(d) as r from ds)" if biggest else "")
+    sql = f"select i, j, {s6(formula)} as s from ds" + (", (select max(d) as r from ds)" if biggest else "")
 
     def fn(t: Tables) -> DataFrame:
         got = G.similarities(_d(t), method, None if biggest else 1.0)
         return got.select("i", "j", r6("s").alias("s"))
 
     fn.__name__ = f"similarity_{method}"
-    return query(sql, "pairs")(fn)
+    return query(sql, "ds")(fn)
 
 
 _similar("exponential", "exp(-d / r)", biggest=True)
@@ -60,14 +53,14 @@ _similar("reciprocal", "1 / (1 + d)")
 _similar("reverse", "r - d", biggest=True)
 
 
-@query(f"with {_RS}, e as (select i, j from rs where r >= 0.2 and r < 0.9) select 'edge' as kind, count(*) as n from e union all select 'node', count(distinct k) from (select i as k from e union all select j from e)", "pairs")
+@query(f"with e as (select i, j from rs where r >= 0.2 and r < 0.9) select 'edge' as kind, count(*) as n from e union all select 'node', count(distinct k) from (select i as k from e union all select j from e)", "rs")
 def graph_nodes_edges(t: Tables) -> DataFrame:
     e = G.edges_in(_r(t), 0.2, 0.9)
     edges = e.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("kind"), "n")
     return edges.union(G.nodes_of(e).agg(F.count(F.lit(1)).alias("n")).select(F.lit("node").alias("kind"), "n"))
 
 
-@query(f"with {_RS} select i, j, case when i % 3 = j % 3 then i % 3 else -1 end as module from rs where r >= 0.2 and r < 0.9", "pairs")
+@query(f"select i, j, case when i % 3 = j % 3 then i % 3 else -1 end as module from rs where r >= 0.2 and r < 0.9", "rs")
 def edge_module(t: Tables) -> DataFrame:
     e = G.edges_in(_r(t), 0.2, 0.9).select("i", "j")
     m = G.nodes_of(e).select("node", (F.col("node") % 3).alias("module"))
@@ -80,14 +73,14 @@ def module_summary(t: Tables) -> DataFrame:
     return G.module_summary(p).select("module", "n", *(r6(c).alias(c) for c in ("cx", "cy", "std_distance")))
 
 
-@query(f"with recursive {_RS}, e as (select i as a, j as b from rs where r >= 0.3 union all select j, i from rs where r >= 0.3), w(node, root) as (select a, a from e union select e.b, w.root from w join e on e.a = w.node where w.root < e.b) select node, min(root) as root from w group by node", "pairs")
+@query(f"with recursive e as (select i as a, j as b from rs where r >= 0.5 union all select j, i from rs where r >= 0.5), w(node, root) as (select a, a from e union select e.b, w.root from w join e on e.a = w.node where w.root < e.b) select node, min(root) as root from w group by node", "rs")
 def graph_components(t: Tables) -> DataFrame:
-    return G.components_by_label(_r(t).where("r >= 0.3"))
+    return G.components_by_label(_r(t).where("r >= 0.5"))
 
 
 @query()
 def greedy_modularity(t: Tables) -> DataFrame:
-    return G.communities(G.edges_in(_r(t), 0.2, 1.1).select("i", "j"))
+    return G.communities(G.edges_in(_r(t), 0.5, 1.1).select("i", "j"))
 
 
 @query("with recursive m(step, l, r) as (values (0, 0, 1), (1, 2, 3), (2, 5, 4), (3, 6, 7)), k as (select step + 5 as node, l as kid from m union all select step + 5, r from m), w(node, kid) as (select node, kid from k union all select w.node, k.kid from w join k on k.node = w.kid) select node::bigint as node, kid::bigint as leaf from w where kid < 5")
@@ -101,9 +94,9 @@ def flat_clusters_distance(t: Tables) -> DataFrame:
     return G.hierarchical(_d(t), 1.2)
 
 
-@query("with g as (select id, unnest(range(len(trace))) as k, unnest(trace) as v from traces_equal where id < 40), b as (select id, k, (select min(c) from (select c, abs(v - (c * 0.2 - 0.4)) as d, min(abs(v - (c * 0.2 - 0.4))) over () as m from range(5) x(c)) where d = m) as bin from g) select id, bin::integer as bin, count(*) as n from b group by all", "traces_equal")
+@query("with g as (select id, unnest(range(len(trace))) as k, unnest(trace) as v from traces_equal), b as (select id, k, (select min(c) from (select c, abs(v - (c * 0.2 - 0.4)) as d, min(abs(v - (c * 0.2 - 0.4))) over () as m from range(5) x(c)) where d = m) as bin from g) select id, bin::integer as bin, count(*) as n from b group by all", "traces_equal")
 def closest_bins(t: Tables) -> DataFrame:
-    long = t.traces_equal().where("id < 40").select("id", F.explode("trace").alias("v"))
+    long = t.traces_equal().select("id", F.explode("trace").alias("v"))
     return G.closest_bin(long, "v", [c * 0.2 - 0.4 for c in range(5)]).groupBy("id", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -155,12 +148,12 @@ def homogeneity_vmeasure(t: Tables) -> DataFrame:
 
 @query()
 def dtw_pairs(t: Tables) -> DataFrame:
-    return K.pair_distances(t.traces_ragged().where("id < 60"))
+    return K.pair_distances(t.traces_ragged())
 
 
 @query()
 def dba_barycenters(t: Tables) -> DataFrame:
-    return K.barycenters(t.traces_equal().withColumn("trace", F.slice("trace", 1, 12)), rounds=3, most=20)
+    return K.barycenters(t.traces_equal(), rounds=3)
 
 
 @query()

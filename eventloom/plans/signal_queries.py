@@ -293,7 +293,7 @@ def metadata_scan(t: Tables) -> DataFrame:
 
 @query()
 def find_peaks(t: Tables) -> DataFrame:
-    return K.peak_table(t.signal().where("i < 2000"), prominence=50.0)
+    return K.peak_table(t.signal(), prominence=50.0)
 
 
 @query()

@@ -18,10 +18,12 @@ VIEWS: dict[str, str] = {
     "volume_data": "select date_diff('day', date '1995-01-01', l_shipdate::date)::bigint as z, l_suppkey % 8 as x, l_partkey % 8 as y, sum(l_quantity) as v from lineitem group by all",
     "recordings": "select *, user_id % 2 as recording, 'rec' || (user_id % 2)::varchar as file_name from events",
     "pred_true": "select doc_id as id, quality as y_true, toxic as y_pred from labels",
-    "pairs": "select a.id as i, b.id as j, a.trace as x, b.trace as y from traces_equal a join traces_equal b on a.id < b.id where a.id < 60 and b.id < 60",
+    "units": "select id, list_transform(c, lambda v: v / sqrt(list_dot_product(c, c))) as u from (select id, list_transform(trace, lambda v: v - m) as c from (select id, trace, list_sum(trace) / len(trace) as m from traces_equal))",
+    "rs": "select a.id as i, b.id as j, list_dot_product(a.u, b.u) as r from units a join units b on a.id < b.id",
+    "ds": "select a.id as i, b.id as j, list_distance(a.trace, b.trace) as d from traces_equal a join traces_equal b on a.id < b.id",
     "names": "select c_name as name from customer",
 }
-_NEEDS = {"traces_ragged": ["traces_equal"], "traces_nan": ["traces_equal"], "stimuli": ["intervals"], "pairs": ["traces_equal"]}
+_NEEDS = {"traces_ragged": ["traces_equal"], "traces_nan": ["traces_equal"], "stimuli": ["intervals"], "units": ["traces_equal"], "rs": ["units"], "ds": ["traces_equal"]}
 
 
 def with_views(sql: str, *names: str) -> str:
@@ -88,8 +90,3 @@ class Tables:
 
     def pred_true(self) -> DataFrame:
         return self.table("labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y_true"), F.col("toxic").alias("y_pred"))
-
-    def pairs(self, below: int = 60) -> DataFrame:
-        t = self.traces_equal().where(F.col("id") < below)
-        one, two = t.select(F.col("id").alias("i"), F.col("trace").alias("x")), t.select(F.col("id").alias("j"), F.col("trace").alias("y"))
-        return one.join(two, F.col("i") < F.col("j"))

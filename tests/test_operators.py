@@ -241,3 +241,33 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.sql("select * from w").collect())) == sorted(map(tuple, windowed(rows, "1 hour").collect()))
+
+
+def test_detection_end_to_end(spark, tmp_path):
+    """Bright blobs on a dim ground are found, described, saved and read again."""
+    from eventloom.api import Events, Video
+    from eventloom.sources import synthetic
+
+    drawn = synthetic.simulate_volume(spark, (10, 40, 40), (10, 20, 20), 2.0, 40)
+    grid = spark.range(10 * 40 * 40).select(F.floor(F.col("id") / 1600).alias("z"), F.floor(F.col("id") / 40 % 40).cast("long").alias("x"), (F.col("id") % 40).alias("y"))
+    lit = grid.join(drawn, ["z", "x", "y"], "left").withColumn("v", F.when(F.col("event_id").isNotNull(), 100.0).otherwise(1.0)).select("z", "x", "y", "v")
+    found = Video(lit).detect(factor=2.0, least=5)
+    got = found.df.select("v_area", "dz", "trace", "v_fp_area").collect()
+    assert len(got) == drawn.select("event_id").distinct().count() == 4 and all(r["v_area"] == 40 and len(r["trace"]) == r["dz"] for r in got)
+    found.filter({"v_area": (1, None)}).save(str(tmp_path / "events"))
+    assert Events.load(spark, str(tmp_path / "events"), subject_id="s").df.count() == 4
+
+
+def test_barycenters_of_shifted_copies(spark):
+    base = [0.0, 0.0, 1.0, 3.0, 1.0, 0.0, 0.0, 0.0]
+    rows = [(k, 0, base[-k:] + base[:-k] if k else base) for k in range(3)]
+    r = K.barycenters(spark.createDataFrame(rows, "id long, cluster int, trace array<double>"), rounds=4).first()
+    assert r["n"] == 3 and abs(max(r["trace"]) - 3) < 0.2
+
+
+def test_contrasts_equal_ntile(spark):
+    df = spark.range(103).withColumn("v", (F.col("id") * 7 % 31).cast("double"))
+    from pyspark.sql import Window as W
+
+    want = df.withColumn("n", F.ntile(4).over(W.orderBy("v", "id")))
+    assert values(E.contrasts(df, "v", 4, "id").select("id", "contrast"), "id") == values(want.select("id", "n"), "id")
