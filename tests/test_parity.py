@@ -25,7 +25,7 @@ def db():
 
 def canon(d: pd.DataFrame) -> pd.DataFrame:
     cols = sorted(d.columns)
-    text = lambda x: str([text(v) for v in x]) if isinstance(x, (list, tuple, np.ndarray)) else "null" if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)) else f"{x:.5f}" if isinstance(x, (float, np.floating)) else str(x)
+    text = lambda x: "null" if x is np.ma.masked else str([text(v) for v in (x.tolist() if isinstance(x, np.ma.MaskedArray) else x)]) if isinstance(x, (list, tuple, np.ndarray)) else "null" if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)) else f"{x:.5f}" if isinstance(x, (float, np.floating)) else str(x)
     return pd.DataFrame({c: [text(x) for x in d[c]] for c in cols}).sort_values(cols).reset_index(drop=True)
 
 
