@@ -134,7 +134,7 @@ def _keyed_worker(words: int):
         for b in batches:
             one, two = [], []
             for text in b.column(2):
-                h = shingle_hashes(text.as_py(), words)
+                h = np.unique(shingle_hashes(text.as_py(), words))
                 one.append(_signed(_majority(h)))
                 two.append(_signed(_majority(_mixed(h))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["doc_order", "text_key", "fp0", "fp1"])

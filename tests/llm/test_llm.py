@@ -406,6 +406,17 @@ def test_keep_one_of_each_group(spark, odd, none):
     assert simhash.keep_one_of_each_group(none).count() == 0
 
 
+def test_keep_one_repeated_phrase(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    docs = []
+    for i in range(10):
+        base, slogan = words(300), words(12)
+        docs += [(i, f"{base} {slogan}"), (20 + i, base + f" {slogan}" * 16)]
+    got = simhash.keep_one_of_each_group(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(10))
+
+
 # --- 10
 
 
