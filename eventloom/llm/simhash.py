@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -10,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from eventloom.llm.common import connected_components, materialize, read
+from eventloom.llm.common import connected_components, discard, materialize, read
 
 _CHUNK = 1 << 15
 
@@ -129,15 +131,42 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _keyed_worker(words: int):
+def shingle_prefix(h: np.ndarray, similarity: float, often: np.ndarray) -> np.ndarray:
+    """The first len(h) - ceil(similarity * len(h)) + 1 of the distinct hashes h, rare ones first: any set that is similar to h shares one
+    of them if it orders alike. `often`: sorted hashes that come last; the empty set has the one hash 0."""
+    if not len(h):
+        return np.zeros(1, np.uint64)
+    at = np.searchsorted(often, h)
+    late = np.zeros(len(h), bool)
+    late[at < len(often)] = often[at[at < len(often)]] == h[at < len(often)]
+    return np.concatenate([h[~late], h[late]])[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+
+
+def _often(docs: DataFrame, words: int, one_in: int = 16, at_least: int = 3, most: int = 200_000) -> np.ndarray:
+    """Shingles that many texts have, by a look at one text in `one_in`. They only settle the order of prefixes: links are the same with any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(0)] or [np.empty(0, np.uint64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["h"])
+
+    some = docs.where(F.pmod("text_key", F.lit(one_in)) == 0).dropDuplicates(["text_key"]).select("text").mapInArrow(run, "h long")
+    top = some.groupBy("h").count().where(F.col("count") >= at_least).orderBy(F.desc("count"), "h").limit(most)
+    return np.sort(top.select("h").toArrow()["h"].to_numpy().view(np.uint64))
+
+
+def _keyed_worker(words: int, similarity: float, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            one, two = [], []
+            one, two, size, prefix = [], [], [], []
             for text in b.column(2):
                 h = np.unique(shingle_hashes(text.as_py(), words))
                 one.append(_signed(_majority(h)))
                 two.append(_signed(_majority(_mixed(h))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["doc_order", "text_key", "fp0", "fp1"])
+                size.append(len(h))
+                prefix.append(shingle_prefix(h, similarity, often).view(np.int64))
+            cols = [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (one, two, size)), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_order", "text_key", "fp0", "fp1", "size", "prefix"])
 
     return run
 
@@ -173,20 +202,51 @@ def near_print_pairs(prints: DataFrame, most_differing: int = 36, rounds: int =
     return found.distinct()
 
 
+def _verified(pairs: DataFrame, nodes: DataFrame, slim: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose whole texts are similar."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "doc_order", "text_key")
+    texts = materialize(wanted.join(slim, ["doc_order", "text_key"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
+    one, two = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("u", "t"), ("v", "s")))
+    return materialize(pairs.join(one, "u").join(two, "v").select("u", "v", "t", "s").mapInArrow(_agree(words, similarity), "u string, v string"), "near-links")
+
+
+def shingle_pairs(sets: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
+    """(u, v): pairs of nodes in different groups that may be similar; all that are, are among them. sets: (node, g, size, prefix).
+
+    Prefix, length and positional filters; the last holds at the first shingle that two prefixes share. Shingles of one group only
+    go before the join, whose shuffles need not all exist at once.
+    """
+    found = None
+    for turn in range(rounds):
+        keys = sets.select("node", "g", "size", F.posexplode("prefix").alias("place", "h")).where(F.pmod("h", F.lit(rounds)) == turn)
+        own = W.partitionBy("h")
+        met = materialize(keys.withColumn("low", F.min("g").over(own)).withColumn("high", F.max("g").over(own)).where("low <> high").drop("low", "high"), "shingles")
+        one, two = (met.select("h", *(F.col(c).alias(c + s) for c in ("node", "g", "size", "place"))) for s in "12")
+        need = F.lit(similarity / (1 + similarity)) * (F.col("size1") + F.col("size2")) - 1e-6
+        most = F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2"))
+        may = (F.col("g1") != F.col("g2")) & (F.col("node1") < F.col("node2")) & ((most >= need) | (F.col("size1") + F.col("size2") == 0))
+        pairs = one.join(two, "h").where(may).select(F.col("node1").alias("u"), F.col("node2").alias("v")).distinct()
+        pairs = materialize(pairs, "shingle-pairs")
+        discard(met)
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
+
+
 def keep_one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but one of each group of near duplicates: the row with the smallest (doc_id, text's hash) stays, as it is.
 
     Texts are linked when the Jaccard similarity of their sets of `words`-word shingles is `similarity` or more; groups are what
-    links connect. Candidates come from 128-bit SimHash prints by multi-index hashing (eight segments, each with its Hamming
-    ball of radius 1) and every link is verified on the whole texts. Of pairs just at 0.8 the search finds about nine in ten,
-    from 0.9 on practically all. Copies of a text are one node of the search, whatever their number. Texts without words are
+    links connect, and none is missed. Most links come from 128-bit SimHash prints by multi-index hashing (eight segments, each with
+    its Hamming ball of radius 1); an exact join on shingles then finds those between the groups that these make. Every link is
+    verified on the whole texts. Copies of a text are one node of the search, whatever their number. Texts without words are
     alike; null counts as empty. Rows without doc_id come last. Of equal rows one stays.
     """
     cols = docs.columns
     last = (1 << 63) - 1
     keyed = docs.withColumn("doc_order", F.coalesce(F.col("doc_id").cast("long"), F.lit(last))).withColumn("text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     slim = keyed.select("doc_order", "text_key", F.col("text").cast("string").alias("text"))
-    prints = materialize(slim.mapInArrow(_keyed_worker(words), "doc_order long, text_key long, fp0 long, fp1 long"), "prints")
+    worker = _keyed_worker(words, similarity, _often(slim, words))
+    prints = materialize(slim.mapInArrow(worker, "doc_order long, text_key long, fp0 long, fp1 long, size long, prefix array<long>"), "prints")
     node = F.concat(F.hex("text_key"), F.lit(":"), F.hex("fp0")).alias("node")
     nodes = materialize(prints.groupBy("text_key", "fp0", "fp1").agg(F.min("doc_order").alias("doc_order")).withColumn("node", node), "nodes")
     reps = nodes.groupBy("fp0", "fp1").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -194,11 +254,14 @@ def keep_one_of_each_group(docs: DataFrame, words: int = 5, similarity: float =
     apart = near_print_pairs(reps.select("fp0", "fp1")).join(side("a"), ["a0", "a1"]).join(side("b"), ["b0", "b1"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
     same = nodes.join(reps.where("n > 1"), ["fp0", "fp1"]).where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
     pairs = materialize(apart.unionByName(same), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "doc_order", "text_key")
-    texts = materialize(wanted.join(slim, ["doc_order", "text_key"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
-    one, two = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("u", "t"), ("v", "s")))
-    links = pairs.join(one, "u").join(two, "v").select("u", "v", "t", "s").mapInArrow(_agree(words, similarity), "u string, v string")
-    roots = connected_components(links)
+    links = _verified(pairs, nodes, slim, words, similarity)
+    near = connected_components(links)
+    sets = prints.dropDuplicates(["text_key", "fp0"]).select(node, "size", "prefix").join(near, "node", "left")
+    more = materialize(shingle_pairs(sets.select(F.xxhash64("node").alias("node"), F.xxhash64(F.coalesce("root", "node")).alias("g"), "size", "prefix"), similarity), "near-pairs")
+    ids = nodes.select("node", F.xxhash64("node").alias("id"))
+    named = more.join(ids.select(F.col("id").alias("u"), F.col("node").alias("a")), "u").join(ids.select(F.col("id").alias("v"), F.col("node").alias("b")), "v")
+    more = _verified(materialize(named.select(F.col("a").alias("u"), F.col("b").alias("v")), "near-pairs"), nodes, slim, words, similarity)
+    roots = near if more.isEmpty() else connected_components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     grouped = nodes.join(roots, "node", "left").withColumn("g", F.coalesce("root", "node"))
     kept = grouped.groupBy("g").agg(F.min(F.struct("doc_order", "text_key")).alias("k")).select("k.*")
     return keyed.join(kept, ["doc_order", "text_key"]).dropDuplicates(["doc_order", "text_key"]).select(*cols)

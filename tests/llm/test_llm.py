@@ -417,6 +417,44 @@ def test_keep_one_repeated_phrase(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(10))
 
 
+def test_keep_one_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts = []
+    for i in range(80):
+        n = int(rng.integers(5, 14)) if i % 2 else 200
+        base = words(n)
+        texts += [base, base[:-1]]
+        if n == 200:
+            for changed in (3, 4, 5):
+                at = set((rng.choice(33, changed, False) * 6 + 3).tolist())
+                texts.append([f"x{rng.integers(10**6)}" if k in at else w for k, w in enumerate(base)])
+    texts += [["To"] * 60 + words(12) for _ in range(4)]
+    texts += [t[:-1] for t in texts[-3:]]
+    sets = [set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for t in texts]
+    group = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[i] & sets[j])
+        if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) - 1e-9 and group[i] != group[j]:
+            old, new = max(group[i], group[j]), min(group[i], group[j])
+            group = [new if g == old else g for g in group]
+    got = simhash.keep_one_of_each_group(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(group)) and len(set(group)) < len(texts)
+
+
+@pytest.mark.parametrize("share", [0, 0.5])
+def test_shingle_prefixes_meet(share):
+    rng = np.random.default_rng(6)
+    often = np.sort(rng.integers(0, 400, 200).astype(np.uint64)) if share else np.empty(0, np.uint64)
+    for _ in range(2000):
+        one = rng.choice(400, rng.integers(1, 60), False).astype(np.uint64)
+        two = np.concatenate([one[int(len(one) * rng.random() * 0.25) :], rng.integers(1000, 2000, rng.integers(0, 12)).astype(np.uint64)])
+        one, two = np.unique(one), np.unique(two)
+        common = len(np.intersect1d(one, two))
+        if common >= 0.8 * (len(one) + len(two) - common) - 1e-9:
+            assert len(np.intersect1d(simhash.shingle_prefix(one, 0.8, often), simhash.shingle_prefix(two, 0.8, often)))
+
+
 # --- 10
 
 
