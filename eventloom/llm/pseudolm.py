@@ -19,8 +19,6 @@ BUCKETS = 256
 CLASSES = 32
 WIDTH = 16
 REACH = (-2, -1, 1, 2)
-#: One place in so many is masked for training, at an offset that follows from the document.
-MASK_EVERY = 7
 _BATCH = 8192
 _SPAN = 65_536
 
@@ -188,14 +186,11 @@ def _train(words: list[str], flat: np.ndarray, like: WindowNet, rate: float) ->
                     q += g * g
                     p -= rate * g / np.sqrt(q)
 
-        for docs, keys in _texts(batches, ids):
-            target, around, of = windows(docs)
-            first = np.array([zlib.crc32(str(k).encode()) for k in keys])
-            starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]])
-            mask = (np.arange(len(of)) - starts[of] + first[of]) % MASK_EVERY == 0
-            kept_t.append(target[mask]), kept_a.append(around[mask])
-            have += int(mask.sum())
-            places += int(mask.sum())
+        for docs, _ in _texts(batches, ids):
+            target, around, _ = windows(docs)
+            kept_t.append(target), kept_a.append(around)
+            have += len(target)
+            places += len(target)
             if have >= _BATCH:
                 learn()
                 kept_t, kept_a, have = [], [], 0
@@ -248,8 +243,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, rounds: int = 1, rate: float = 0.1) -> ScoringModel:
     """Fit the network on all documents.
 
-    Words are counted over the whole corpus. Each partition then trains a copy of the network on the masked places of all its
-    texts (one in MASK_EVERY), and the copies' weights, each weighed by its places, are averaged (parameter mixing); the sums
+    Words are counted over the whole corpus. Each partition then trains a copy of the network on every place of all its
+    texts (a window never holds its own target), and the copies' weights, each weighed by its places, are averaged (parameter mixing); the sums
     are taken on the map side, and what comes to the driver is one network. `rounds` repeats this from the average.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -206,6 +207,13 @@ def test_training_helps_and_odd(spark, documents, odd, none):
     assert pseudolm.score(none, pseudolm.train(none)).count() == 0
 
 
+def test_every_place_is_trained():
+    docs = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, None]), pa.array(["one two three", "four", None, "five " * 50])], ["doc_id", "text"])
+    net = pseudolm.WindowNet.begin(np.ones(pseudolm.VOCABULARY))
+    got = list(pseudolm._train(["one"], net.flat(), net, 0.1)(iter([docs])))
+    assert [b.column(0).to_pylist() for b in got] == [[54]]
+
+
 # --- 5
 
 
