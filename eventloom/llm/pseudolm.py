@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import read
+from eventloom.llm.common import materialize, read
 
 #: Ids: the most frequent words, then buckets of all others by the hash of their last three characters; then one for places outside a text.
 VOCABULARY = 2048
@@ -159,7 +160,8 @@ def _texts(batches: Iterator[pa.RecordBatch], ids: WordIds) -> Iterator[tuple[li
     """Documents' ids and their keys, in blocks of about _SPAN places."""
     docs, keys, size = [], [], 0
     for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        names = b.column(0).to_pylist() if b.num_columns < 3 else list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
+        for key, text in zip(names, b.column(1), strict=True):
             words = words_of(text.as_py())
             docs.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
             keys.append(key)
@@ -209,8 +211,8 @@ def _score(words: list[str], flat: np.ndarray, like: WindowNet) -> Callable:
             target, around, of = windows(docs)
             total = np.bincount(of, net.log_probability(target, around), len(docs)) if len(of) else np.zeros(len(docs))
             n = np.array([len(d) for d in docs])
-            mean = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(total), mean], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+            doc_id, text_key = zip(*keys, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(total), pa.array(text_key, pa.int64())], ["doc_id", "n_words", "log_likelihood", "text_key"])
 
     return run
 
@@ -219,6 +221,9 @@ def _score(words: list[str], flat: np.ndarray, like: WindowNet) -> Callable:
 class ScoringModel:
     words: list[str]
     net: WindowNet
+    #: (word, log_p) of every word outside the vocabulary, within its bucket, and (bucket, log_p) of any other word there.
+    tail: DataFrame | None = None
+    unseen: DataFrame | None = None
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +245,53 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
+def _counts(texts: DataFrame) -> DataFrame:
+    """(word, n) of (doc_id, text), written to the shared folder; the empty word has the count of all."""
+    return materialize(texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def _bucket(word: Column) -> Column:
+    """As WordIds has it, without what it adds."""
+    return F.crc32(F.encode(F.when(F.length(word) > 3, F.substring(word, -3, 3)).otherwise(word), "UTF-8")) % BUCKETS
+
+
+def _tail(counts: DataFrame, words: list[str]) -> tuple[DataFrame, DataFrame]:
+    """ScoringModel's tail and unseen: each word's count and one more over its bucket's, which has one place for words not met."""
+    common = counts.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    rare = counts.where("word <> ''").join(F.broadcast(common), "word", "left_anti").withColumn("bucket", _bucket(F.col("word")))
+    sums = rare.groupBy("bucket").agg((F.sum("n") + F.count(F.lit(1)) + 1).alias("of"))
+    every = counts.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(sums, "bucket", "left")
+    tail = rare.join(F.broadcast(sums), "bucket").select("word", F.log((F.col("n") + 1) / F.col("of")).alias("log_p"))
+    return materialize(tail, "tail"), materialize(every.select("bucket", F.log(1 / F.coalesce("of", F.lit(1))).alias("log_p")), "unseen")
+
+
+def _rare(words: list[str]) -> Callable:
+    """(text_key, word, n) of the words outside the vocabulary; the empty word counts the text itself."""
+    known = frozenset(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, out, n = [], [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                got = Counter(w for w in words_of(text.as_py()) if w not in known)
+                got[""] = 1
+                keys += [key] * len(got)
+                out += got.keys()
+                n += got.values()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string()), pa.array(n, pa.int64())], ["text_key", "word", "n"])
+
+    return run
+
+
+def _within_buckets(texts: DataFrame, model: ScoringModel) -> DataFrame:
+    """(text_key, within): the sum of log p(word | bucket) over each text's words outside the vocabulary."""
+    met = texts.select("text_key", "text").mapInArrow(_rare(model.words), "text_key long, word string, n long")
+    scored = met.join(model.tail, "word", "left").withColumn("bucket", _bucket(F.col("word"))).join(F.broadcast(model.unseen.withColumnRenamed("log_p", "new_p")), "bucket")
+    copies = F.sum(F.when(F.col("word") == "", F.col("n")))
+    own = F.when(F.col("word") == "", F.lit(0.0)).otherwise(F.coalesce("log_p", "new_p"))
+    return scored.groupBy("text_key").agg((F.sum(F.col("n") * own) / copies).alias("within"))
+
+
 def train(docs: DataFrame, rounds: int = 1, rate: float = 0.1) -> ScoringModel:
     """Fit the network on all documents.
 
@@ -248,7 +300,7 @@ def train(docs: DataFrame, rounds: int = 1, rate: float = 0.1) -> ScoringModel:
     are taken on the map side, and what comes to the driver is one network. `rounds` repeats this from the average.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counts = texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = _counts(texts)
     # the empty word has the count of all, so it comes first
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS + 1).collect()
     total, top = (top[0]["n"], top[1:]) if top else (0, [])
@@ -265,16 +317,22 @@ def train(docs: DataFrame, rounds: int = 1, rate: float = 0.1) -> ScoringModel:
             flat = np.empty(got.num_rows)
             flat[got["pos"].to_numpy()] = got["w"].to_numpy()
             net = WindowNet.of(flat, net)
-    return ScoringModel(words, net)
+    return ScoringModel(words, net, *_tail(counts, words))
 
 
 def score(docs: DataFrame, model: ScoringModel) -> DataFrame:
     """doc_id, n_words, log_likelihood (sum over all words of log p(word | both sides)), and its mean, for each document.
 
-    A word outside the vocabulary counts as its bucket. Null and empty texts have the sum 0 and no mean. Repeated rows are each
-    scored.
+    A word outside the vocabulary counts as its bucket and, within that, by its own count in the corpus trained on; where a model has
+    no such counts, those of docs are taken. Null and empty texts have the sum 0 and no mean. Repeated rows are each scored.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(model.words, model.net.flat(), model.net), "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if model.tail is None:
+        model = ScoringModel(model.words, model.net, *_tail(_counts(texts), model.words))
+    texts = texts.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    placed = texts.mapInArrow(_score(model.words, model.net.flat(), model.net), "doc_id long, n_words long, log_likelihood double, text_key long")
+    total = F.col("log_likelihood") + F.col("within")
+    return placed.join(_within_buckets(texts, model), "text_key").select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))
 
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

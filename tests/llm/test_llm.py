@@ -214,6 +214,18 @@ def test_every_place_is_trained():
     assert [b.column(0).to_pylist() for b in got] == [[54]]
 
 
+def test_words_within_buckets(spark):
+    common = " ".join(f"c{i}" for i in range(pseudolm.VOCABULARY - pseudolm.BUCKETS)) + " "
+    docs = [(i, common * 3) for i in range(20)] + [(30, "qqing " * 9), (31, "zzing"), (31, "zzing"), (32, "é"), (33, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = pseudolm.train(frame)
+    odd = spark.createDataFrame([(1, "qqing"), (2, "zzing"), (2, "zzing"), (3, "vving"), (4, "é"), (5, None)], "doc_id long, text string")
+    got = rows(pseudolm.score(odd, model).select("doc_id", "log_likelihood"), "doc_id")
+    p = dict(got)
+    assert len(got) == 6 and got[1] == got[2] and p[5] == 0
+    assert np.allclose([p[1] - p[2], p[2] - p[3]], np.log([10 / 3, 3]))
+
+
 # --- 5
 
 
