@@ -5,6 +5,7 @@ Intervals are half-open [z0, z1) unless a function says otherwise.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
@@ -152,6 +153,21 @@ def sample(df: DataFrame, n: int, by: str | None = None, key: str = "event_key",
     return df.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(at, key))).where(F.col("_r") <= n).drop("_r")
 
 
+def bootstrap_means(df: DataFrame, value: str, by: str, key: str = "event_key", resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """(by, mean, low, high): median and interval of the mean of all of each group's values over resamples.
+
+    Poisson bootstrap: in each resample a row has a weight by the hash of its key, the resample and the seed. Only weighted sums and
+    counts leave the map side, so no group is ever in one task. NULL values do not count.
+    """
+    steps = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+    rows = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v"), key, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b"))
+    u = F.shiftrightunsigned(F.xxhash64(key, "_b", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    drawn = rows.withColumn("_u", u).withColumn("_w", sum((F.col("_u") >= s).cast("int") for s in steps))
+    means = drawn.groupBy(by, "_b").agg((F.sum(F.col("_v") * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+    at = lambda q: F.percentile("_m", F.lit(q))
+    return means.groupBy(by).agg(at(0.5).alias("mean"), at((1 - level) / 2).alias("low"), at((1 + level) / 2).alias("high"))
+
+
 def drop_missing(df: DataFrame, how: str, columns: Sequence[str], fill: float = 0.0) -> DataFrame:
     """how: rows (with any NULL or NaN go), columns (that have any go), fill."""
     clean = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))})

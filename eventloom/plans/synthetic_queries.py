@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators import events as E
 from eventloom.operators import volume as V
-from eventloom.operators.kernels import bootstrap_interval
 from eventloom.plans.registry import query, r6, s6
 from eventloom.sources import synthetic
 from eventloom.sources.adapters import Tables
@@ -68,10 +65,5 @@ def missing_rows(t: Tables) -> DataFrame:
 
 @query()
 def bootstrap_means(t: Tables) -> DataFrame:
-    """Median and interval of each cluster's mean over resamples of at most 2000 values, those with the smallest hashed keys."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, low, high = bootstrap_interval(pdf.sort_values("event_key")["value"].to_numpy(), np.mean)
-        return pd.DataFrame({"cluster": pdf["cluster"].iloc[:1], "mean": [m], "low": [low], "high": [high]})
-
-    return E.sample(t.intervals(), 2000, "cluster").groupBy("cluster").applyInPandas(run, "cluster string, mean double, low double, high double")
+    """Median and interval of each cluster's mean over resamples of all its values."""
+    return E.bootstrap_means(t.intervals(), "value", "cluster")

@@ -271,3 +271,10 @@ def test_contrasts_equal_ntile(spark):
 
     want = df.withColumn("n", F.ntile(4).over(W.orderBy("v", "id")))
     assert values(E.contrasts(df, "v", 4, "id").select("id", "contrast"), "id") == values(want.select("id", "n"), "id")
+
+
+def test_bootstrap_uses_all_rows(spark):
+    df = spark.range(20_000).select(F.col("id").alias("event_key"), F.lit("a").alias("cluster"), (F.col("id") % 100).cast("double").alias("value"))
+    r = E.bootstrap_means(df, "value", "cluster").first()
+    width = 2 * 1.96 * np.sqrt((100**2 - 1) / 12 / 20_000)
+    assert r["low"] < 49.5 < r["high"] and 0.75 * width < r["high"] - r["low"] < 1.3 * width
