@@ -18,20 +18,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests on one machine), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, one of our own, on one machine only (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="eventloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: this cuts the lineage, and a lost executor costs no recomputation.
+def scan_files(df: DataFrame, each: int = 8 << 20) -> int:
+    """How many files of about `each` bytes df's input makes by Spark's own estimate; at least one for each core. Tables that are smaller
+    than the input need no more files, however many partitions a shuffle has."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(1 << 20, -(-size // each)))
+
+
+def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder, to at most `files` files, and read it back: this cuts the lineage, and a lost executor
+    costs no recomputation.
 
     What the write has shuffled goes when it has ended, where Spark can do that, and the table when the driver's JVM ends.
     """
     spark = df.sparkSession
+    df = df.coalesce(files) if files else df
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     known, before = spark.conf.isModifiable(_CLEANUP), spark.conf.get(_CLEANUP, None)
     try:
@@ -62,14 +74,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, files: int | None = None) -> DataFrame:
     """(node, root) for every node in edges (u, v); root is the component's smallest node.
 
     Alternating large-star and small-star rounds over DataFrames: minima are aggregated on the map side, so a hub with
     very many links never sits in one task, and each round's links are written to the shared folder. Nothing but a count
     and a checksum reaches the driver. Self links and repeated links are allowed; an empty input gives an empty result.
     """
-    links = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+    links = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links", files)
     seen = None
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -77,7 +89,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        links = materialize(small, "links")
+        was, links = links, materialize(small, "links", files)
+        discard(was)
         now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
         if tuple(now) == seen:
             break

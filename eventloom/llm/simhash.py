@@ -11,9 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from eventloom.llm.common import connected_components, discard, materialize, read
+from eventloom.llm.common import connected_components, discard, materialize, read, scan_files
 
 _CHUNK = 1 << 15
 
@@ -158,15 +157,14 @@ def _often(docs: DataFrame, words: int, one_in: int = 16, at_least: int = 3, mos
 def _keyed_worker(words: int, similarity: float, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            one, two, size, prefix = [], [], [], []
+            prints, size, prefix = [], [], []
             for text in b.column(2):
                 h = np.unique(shingle_hashes(text.as_py(), words))
-                one.append(_signed(_majority(h)))
-                two.append(_signed(_majority(_mixed(h))))
+                prints.append(_signed(_majority(h)))
                 size.append(len(h))
                 prefix.append(shingle_prefix(h, similarity, often).view(np.int64))
-            cols = [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (one, two, size)), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_order", "text_key", "fp0", "fp1", "size", "prefix"])
+            cols = [b.column(0), b.column(1), pa.array(prints, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_order", "text_key", "fp", "size", "prefix"])
 
     return run
 
@@ -184,49 +182,55 @@ def _agree(words: int, similarity: float):
     return run
 
 
-def near_print_pairs(prints: DataFrame, most_differing: int = 36, rounds: int = 2) -> DataFrame:
-    """(a0, a1, b0, b1): pairs of distinct 128-bit prints (fp0, fp1) that differ in at most `most_differing` bits and in at most one bit in
-    some of the eight 16-bit segments. The segments' tables are probed in `rounds` turns, whose shuffles need not exist at once."""
-    cols = [F.shiftrightunsigned(c, 16 * k).bitwiseAND(F.lit(65535)) for c in ("fp0", "fp1") for k in range(4)]
-    found = None
-    for turn in range(rounds):
-        own = [(k, c) for k, c in enumerate(cols) if k % rounds == turn]
-        keys = F.explode(F.array(*(c + F.lit(k << 16) for k, c in own)))
-        table = prints.select(F.col("fp0").alias("b0"), F.col("fp1").alias("b1"), keys.alias("key"))
-        balls = F.explode(F.array(*(F.lit(m).cast("long") for m in _balls(16, 1))))
-        probes = prints.select(F.col("fp0").alias("a0"), F.col("fp1").alias("a1"), keys.alias("s")).select("a0", "a1", "s", balls.alias("m")).select("a0", "a1", F.col("s").bitwiseXOR(F.col("m")).alias("key"))
-        gap = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-        first = (F.col("a0") < F.col("b0")) | ((F.col("a0") == F.col("b0")) & (F.col("a1") < F.col("b1")))
-        pairs = materialize(probes.join(table, "key").where(first & (gap <= most_differing)).select("a0", "a1", "b0", "b1").distinct(), "print-pairs")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
-
+def nearest_prints(prints: DataFrame, most_differing: int = 18, segments: int = 4) -> DataFrame:
+    """(a, b): for each of the distinct prints (fp) at most two others that differ from it in at most `most_differing` bits.
 
-def _verified(pairs: DataFrame, nodes: DataFrame, slim: DataFrame, words: int, similarity: float) -> DataFrame:
+    Multi-index hashing, with one print, the smallest, for each value of a segment in its table: each print probes the tables with a ball
+    of radius 1 about each of its segments, and of what it meets within the distance, the nearest print and the smallest are kept. So a
+    group of near copies costs in proportion to its size; who shares a link with whom is settled by connected components.
+    """
+    bits = 64 // segments
+    mask = F.lit((1 << bits) - 1).cast("long")
+    # a segment's number stands above its value: bits of one key
+    keys = F.explode(F.array(*(F.shiftrightunsigned("fp", k * bits).bitwiseAND(mask) + F.lit(k << bits) for k in range(segments))))
+    table = prints.select("fp", keys.alias("key")).groupBy("key").agg(F.min("fp").alias("b"))
+    balls = F.explode(F.array(*(F.lit(m).cast("long") for m in _balls(bits, 1))))
+    probes = prints.select(F.col("fp").alias("a"), keys.alias("s")).select("a", "s", balls.alias("m")).select("a", F.col("s").bitwiseXOR(F.col("m")).alias("key"))
+    gap = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    met = probes.join(table, "key").where((F.col("a") != F.col("b")) & (gap <= most_differing))
+    best = met.groupBy("a").agg(F.min(F.struct(gap.alias("gap"), "b"))["b"].alias("near"), F.min("b").alias("least"))
+    return best.select("a", F.explode(F.array_distinct(F.array("near", "least"))).alias("b"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, slim: DataFrame, words: int, similarity: float, files: int) -> DataFrame:
     """The pairs (u, v) of nodes whose whole texts are similar."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "doc_order", "text_key")
-    texts = materialize(wanted.join(slim, ["doc_order", "text_key"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
+    texts = materialize(wanted.join(slim, ["doc_order", "text_key"]).select("node", "text").dropDuplicates(["node"]), "near-texts", files)
     one, two = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("u", "t"), ("v", "s")))
-    return materialize(pairs.join(one, "u").join(two, "v").select("u", "v", "t", "s").mapInArrow(_agree(words, similarity), "u string, v string"), "near-links")
+    links = materialize(pairs.join(one, "u").join(two, "v").select("u", "v", "t", "s").mapInArrow(_agree(words, similarity), "u string, v string"), "near-links", files)
+    discard(texts)
+    return links
 
 
-def shingle_pairs(sets: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
+def shingle_pairs(sets: DataFrame, similarity: float, files: int | None = None, rounds: int = 2) -> DataFrame:
     """(u, v): pairs of nodes in different groups that may be similar; all that are, are among them. sets: (node, g, size, prefix).
 
-    Prefix, length and positional filters; the last holds at the first shingle that two prefixes share. Shingles of one group only
-    go before the join, whose shuffles need not all exist at once.
+    Prefix, length and positional filters, which hold at the first shingle that two prefixes share; where both have the same one before
+    it, the pair is met there. Shingles of one group only go before the join, whose shuffles need not all exist at once.
     """
     found = None
     for turn in range(rounds):
-        keys = sets.select("node", "g", "size", F.posexplode("prefix").alias("place", "h")).where(F.pmod("h", F.lit(rounds)) == turn)
-        own = W.partitionBy("h")
-        met = materialize(keys.withColumn("low", F.min("g").over(own)).withColumn("high", F.max("g").over(own)).where("low <> high").drop("low", "high"), "shingles")
-        one, two = (met.select("h", *(F.col(c).alias(c + s) for c in ("node", "g", "size", "place"))) for s in "12")
+        keys = sets.select("node", "g", "size", "prefix", F.posexplode("prefix").alias("place", "h")).where(F.pmod("h", F.lit(rounds)) == turn)
+        keys = keys.select("h", "node", "g", "size", "place", F.get("prefix", F.col("place") - 1).alias("before"))
+        shared = keys.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("h")
+        met = materialize(keys.join(shared, "h", "left_semi"), "shingles", files)
+        one, two = (met.select("h", *(F.col(c).alias(c + s) for c in ("node", "g", "size", "place", "before"))) for s in "12")
         need = F.lit(similarity / (1 + similarity)) * (F.col("size1") + F.col("size2")) - 1e-6
         most = F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2"))
-        may = (F.col("g1") != F.col("g2")) & (F.col("node1") < F.col("node2")) & ((most >= need) | (F.col("size1") + F.col("size2") == 0))
+        first = F.coalesce(F.col("before1") != F.col("before2"), F.lit(True))
+        may = (F.col("g1") != F.col("g2")) & (F.col("node1") < F.col("node2")) & first & ((most >= need) | (F.col("size1") + F.col("size2") == 0))
         pairs = one.join(two, "h").where(may).select(F.col("node1").alias("u"), F.col("node2").alias("v")).distinct()
-        pairs = materialize(pairs, "shingle-pairs")
+        pairs = materialize(pairs, "shingle-pairs", files)
         discard(met)
         found = pairs if found is None else found.unionByName(pairs)
     return found.distinct()
@@ -236,32 +240,39 @@ def keep_one_of_each_group(docs: DataFrame, words: int = 5, similarity: float =
     """docs without all but one of each group of near duplicates: the row with the smallest (doc_id, text's hash) stays, as it is.
 
     Texts are linked when the Jaccard similarity of their sets of `words`-word shingles is `similarity` or more; groups are what
-    links connect, and none is missed. Most links come from 128-bit SimHash prints by multi-index hashing (eight segments, each with
+    links connect, and none is missed. Most links come from 64-bit SimHash prints by multi-index hashing (four segments, each with
     its Hamming ball of radius 1); an exact join on shingles then finds those between the groups that these make. Every link is
     verified on the whole texts. Copies of a text are one node of the search, whatever their number. Texts without words are
-    alike; null counts as empty. Rows without doc_id come last. Of equal rows one stays.
+    alike; null counts as empty. Rows without doc_id come last. Of equal rows one stays. An empty table gives an empty one; columns
+    besides doc_id and text are not read, whatever their names.
     """
     cols = docs.columns
     last = (1 << 63) - 1
-    keyed = docs.withColumn("doc_order", F.coalesce(F.col("doc_id").cast("long"), F.lit(last))).withColumn("text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    slim = keyed.select("doc_order", "text_key", F.col("text").cast("string").alias("text"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"))
+    text = F.col("row.text").cast("string")
+    keyed = whole.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(last)).alias("doc_order"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"))
+    slim = keyed.select("doc_order", "text_key", text.alias("text"))
+    files = scan_files(docs)
     worker = _keyed_worker(words, similarity, _often(slim, words))
-    prints = materialize(slim.mapInArrow(worker, "doc_order long, text_key long, fp0 long, fp1 long, size long, prefix array<long>"), "prints")
-    node = F.concat(F.hex("text_key"), F.lit(":"), F.hex("fp0")).alias("node")
-    nodes = materialize(prints.groupBy("text_key", "fp0", "fp1").agg(F.min("doc_order").alias("doc_order")).withColumn("node", node), "nodes")
-    reps = nodes.groupBy("fp0", "fp1").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n"))
-    side = lambda s: reps.select(F.col("fp0").alias(s + "0"), F.col("fp1").alias(s + "1"), F.col("rep").alias(s))
-    apart = near_print_pairs(reps.select("fp0", "fp1")).join(side("a"), ["a0", "a1"]).join(side("b"), ["b0", "b1"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    same = nodes.join(reps.where("n > 1"), ["fp0", "fp1"]).where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
-    pairs = materialize(apart.unionByName(same), "near-pairs")
-    links = _verified(pairs, nodes, slim, words, similarity)
-    near = connected_components(links)
-    sets = prints.dropDuplicates(["text_key", "fp0"]).select(node, "size", "prefix").join(near, "node", "left")
-    more = materialize(shingle_pairs(sets.select(F.xxhash64("node").alias("node"), F.xxhash64(F.coalesce("root", "node")).alias("g"), "size", "prefix"), similarity), "near-pairs")
+    prints = materialize(slim.mapInArrow(worker, "doc_order long, text_key long, fp long, size long, prefix array<long>"), "prints", files)
+    node = F.concat(F.hex("text_key"), F.lit(":"), F.hex("fp")).alias("node")
+    nodes = materialize(prints.groupBy("text_key", "fp").agg(F.min("doc_order").alias("doc_order")).withColumn("node", node), "nodes", files)
+    reps = nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n"))
+    side = lambda s: reps.select(F.col("fp").alias(s), F.col("rep").alias(s + s))
+    apart = nearest_prints(reps.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.col("aa").alias("u"), F.col("bb").alias("v"))
+    same = nodes.join(reps.where("n > 1"), "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    pairs = materialize(apart.unionByName(same), "near-pairs", files)
+    links = _verified(pairs, nodes, slim, words, similarity, files)
+    near = connected_components(links, files=files)
+    sets = prints.dropDuplicates(["text_key", "fp"]).select(node, "size", "prefix").join(near, "node", "left")
+    more = materialize(shingle_pairs(sets.select(F.xxhash64("node").alias("node"), F.xxhash64(F.coalesce("root", "node")).alias("g"), "size", "prefix"), similarity, files), "near-pairs", files)
+    discard(prints)
     ids = nodes.select("node", F.xxhash64("node").alias("id"))
     named = more.join(ids.select(F.col("id").alias("u"), F.col("node").alias("a")), "u").join(ids.select(F.col("id").alias("v"), F.col("node").alias("b")), "v")
-    more = _verified(materialize(named.select(F.col("a").alias("u"), F.col("b").alias("v")), "near-pairs"), nodes, slim, words, similarity)
-    roots = near if more.isEmpty() else connected_components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    roots = near
+    if not more.isEmpty():
+        more = _verified(materialize(named.select(F.col("a").alias("u"), F.col("b").alias("v")), "near-pairs", files), nodes, slim, words, similarity, files)
+        roots = near if more.isEmpty() else connected_components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), files=files)
     grouped = nodes.join(roots, "node", "left").withColumn("g", F.coalesce("root", "node"))
     kept = grouped.groupBy("g").agg(F.min(F.struct("doc_order", "text_key")).alias("k")).select("k.*")
-    return keyed.join(kept, ["doc_order", "text_key"]).dropDuplicates(["doc_order", "text_key"]).select(*cols)
+    return keyed.join(kept, ["doc_order", "text_key"]).dropDuplicates(["doc_order", "text_key"]).select("row.*")
