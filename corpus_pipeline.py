@@ -6,10 +6,9 @@ Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; al
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from eventloom.llm.common import materialize, read
-from eventloom.llm.linededup import dedup_lines
+from eventloom.llm.linededup import without_repeated_lines
 from eventloom.llm.packing import pack
 from eventloom.llm.quality import keep_good
 from eventloom.llm.simhash import keep_one_of_each_group
@@ -22,8 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go; n_chars follows the text."""
-    out = dedup_lines(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return without_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
