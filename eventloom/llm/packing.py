@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import threading
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -16,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import materialize, read
+from eventloom.llm.common import give_back, materialize, read
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -44,7 +45,8 @@ class ChunkEncoder:
     The vocabulary's pre-tokenizer drops white space and none of its patterns reaches across it, and its normaliser works on
     chunks alone, so a text's ids are its chunks' ids one after another. A chunk of plain Latin letters and ASCII is lowered
     and parted by the vocabulary's own pattern here, and only words not met before go to the tokenizer; any other chunk goes
-    to it whole. The table keeps the first `limit` chunks; later ones are kept until there are `extra` of them.
+    to it whole. The table keeps the first `limit` chunks; later ones are kept until there are `extra` of them. Texts go to
+    the tokenizer whole where a vocabulary has other steps.
     """
 
     def __init__(self, path: str, limit: int = 1_200_000, extra: int = 200_000) -> None:
@@ -73,7 +75,7 @@ class ChunkEncoder:
             self.words.clear()
         parts, odd = {}, []
         for c in chunks:
-            if self.pattern is None or _UNPLAIN.search(c) or "<|" in c:
+            if _UNPLAIN.search(c) or "<|" in c:
                 odd.append(c)
             else:
                 parts[c] = self.pattern.findall(c.lower())
@@ -87,6 +89,10 @@ class ChunkEncoder:
             self.later += chunks
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        if self.pattern is None:
+            for t in texts:
+                yield from self._ids(self.whole, [t])
+            return
         block: list[list[str]] = []
         size = 0
         for t in texts:
@@ -111,15 +117,33 @@ class ChunkEncoder:
 
 
 _encoders: dict[str, ChunkEncoder] = {}
+_IDLE_SECONDS = 3.0
+_uses = 0
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each worker process."""
+    """One encoder for each worker process, until release_when_idle lets it go."""
+    global _uses
+    _uses += 1
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
 
 
+def release_when_idle() -> None:
+    """Drop the encoders with their tables if no task asks for one within _IDLE_SECONDS: an idle worker then holds no memory."""
+    now = _uses
+
+    def release() -> None:
+        if _uses == now:
+            _encoders.clear()
+            give_back()
+
+    timer = threading.Timer(_IDLE_SECONDS, release)
+    timer.daemon = True
+    timer.start()
+
+
 def _pieces(path: str, size: int, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), array("I", [end_id]).tobytes()
@@ -132,6 +156,8 @@ def _pieces(path: str, size: int, end_id: int) -> Callable:
                     part = whole[at : at + 4 * size]
                     docs.append(doc), starts.append(at // 4), lengths.append(len(part) // 4), crcs.append(zlib.crc32(part)), totals.append(len(whole) // 4)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, starts, lengths, crcs, totals)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        del enc
+        release_when_idle()
 
     return run
 
@@ -196,12 +222,12 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id:
 
     Long documents are cut at multiples of the capacity. Pieces are dealt to groups of about `group_pieces` by a hash of
     document and place, so no group grows with the input or with one long document, and each group is packed by itself.
-    `padded_length` is the capacity, or the length itself where that is a power of two. Repeated rows are packed as often as
+    `padded_length` is the capacity, or the length itself where that is a power of two. Repeated rows are dealt apart and packed as often as
     they occur; rows without doc_id are packed too. An empty table gives an empty result.
     """
     pieces = materialize(token_pieces(docs, path, capacity, end_id), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
+    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
     return pieces.withColumn("part", part).groupBy("part").applyInPandas(_pack_group(capacity), f"{PIECE}, sequence_id long, offset long, sequence_length long, padded_length long")
 
 
