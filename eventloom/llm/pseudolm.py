@@ -8,11 +8,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import materialize, read
+from eventloom.llm.common import give_back, materialize, read
 
 #: Ids: the most frequent words, then buckets of all others by the hash of their last three characters; then one for places outside a text.
 VOCABULARY = 2048
@@ -20,22 +21,17 @@ BUCKETS = 256
 CLASSES = 32
 WIDTH = 16
 REACH = (-2, -1, 1, 2)
+#: Places to a step of training, and to a block of scoring.
 _BATCH = 8192
 _SPAN = 65_536
-
-
-class WordIds(dict):
-    """Ids of words; those outside the vocabulary are worked out once and kept while there are not too many."""
-
-    def __init__(self, words: list[str]) -> None:
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.most = len(words) + 500_000
-
-    def __missing__(self, word: str) -> int:
-        i = VOCABULARY - BUCKETS + zlib.crc32(word[-3:].encode("utf-8", "surrogatepass")) % BUCKETS
-        if len(self) < self.most:
-            self[word] = i
-        return i
+#: A trainer has about so many words, or more where there would be more than _MOST_TRAINERS.
+TRAINER_WORDS = 2_000_000
+_MOST_TRAINERS = 4096
+#: Contexts (hashed) and classes of characters of the spelling model: class 0 ends a word, 1 to 238 are single characters, the others shared.
+_CONTEXTS = 2048
+_CHARACTERS = 256
+_SHARED = 239
+_KNOWN_WORDS = 300_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -137,13 +133,15 @@ class WindowNet:
             to_word[c], word_bias[c] = h[rows].T @ w, w.sum(0)
             back[rows] += w @ self.to_word[c].T
         back *= 1 - h * h
-        embed, gate = np.zeros((WIDTH, VOCABULARY + 1)), np.empty_like(self.gate)
+        embed, gate = np.zeros_like(self.embed), np.empty_like(self.gate)
         for k in range(len(REACH)):
-            gate[k] = (back * self.embed[around[:, k]]).sum(0)
-            put = back * self.gate[k]
-            for d in range(WIDTH):
-                embed[d] += np.bincount(around[:, k], put[:, d], VOCABULARY + 1)
-        return [embed.T, gate, back.sum(0), to_class, class_bias, to_word, word_bias]
+            at = around[:, k]
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.diff(at[order], prepend=-1))
+            sums, ids = np.add.reduceat(back[order], first, axis=0), at[order[first]]
+            gate[k] = (sums * self.embed[ids]).sum(0)
+            embed[ids] += sums * self.gate[k]
+        return [embed, gate, back.sum(0), to_class, class_bias, to_word, word_bias]
 
 
 def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,185 +154,265 @@ def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return line[at], np.stack([line[at + r] for r in REACH], 1), of
 
 
-def _texts(batches: Iterator[pa.RecordBatch], ids: WordIds) -> Iterator[tuple[list[np.ndarray], list]]:
-    """Documents' ids and their keys, in blocks of about _SPAN places."""
-    docs, keys, size = [], [], 0
-    for b in batches:
-        names = b.column(0).to_pylist() if b.num_columns < 3 else list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
-        for key, text in zip(names, b.column(1), strict=True):
-            words = words_of(text.as_py())
-            docs.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-            keys.append(key)
-            size += len(words)
-            if size >= _SPAN:
-                yield docs, keys
-                docs, keys, size = [], [], 0
-    if docs:
-        yield docs, keys
-
-
-def _train(words: list[str], flat: np.ndarray, like: WindowNet, rate: float) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, ids = WindowNet.of(flat, like), WordIds(words)
-        seen = [np.full_like(p, 1e-6) for p in net.parts()]
-        places = 0
-        kept_t, kept_a, have = [], [], 0
+def bucket_of(word: str) -> int:
+    return zlib.crc32(word[-3:].encode("utf-8", "surrogatepass")) % BUCKETS
 
-        def learn() -> None:
-            t, a = np.concatenate(kept_t), np.concatenate(kept_a)
-            for s in range(0, len(t), _BATCH // 4):
-                for p, g, q in zip(net.parts(), net.gradients(t[s : s + _BATCH // 4], a[s : s + _BATCH // 4]), seen, strict=True):
-                    g = g.astype(np.float32)
-                    q += g * g
-                    p -= rate * g / np.sqrt(q)
 
-        for docs, _ in _texts(batches, ids):
-            target, around, _ = windows(docs)
-            kept_t.append(target), kept_a.append(around)
-            have += len(target)
-            places += len(target)
-            if have >= _BATCH:
-                learn()
-                kept_t, kept_a, have = [], [], 0
-        if have:
-            learn()
-        if places:
-            yield pa.RecordBatch.from_arrays([pa.array([places], pa.int64()), pa.array([net.flat().astype(float)], pa.list_(pa.float64()))], ["places", "weights"])
+def _spelt(words: list[str], buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells (context, character) that spell each word from its end to its start, which word each is of, and how many characters of a
+    shared class each word has. The context of the last character is the word's bucket, of the one before it the bucket and the last,
+    of each other, and of the end mark, the two that follow it in the word."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    line = "\0".join(w.replace("\0", "\ufffd")[::-1] for w in words) + "\0"
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    kind = np.where((code > 32) & (code < 127), code - 32, np.where((code >= 0xC0) & (code < 0x150), code - 0xC0 + 95, _SHARED + code % (_CHARACTERS - _SHARED)))
+    kind[code == 0] = 0
+    of = np.repeat(np.arange(len(words)), lengths)
+    place = np.arange(len(code)) - (np.cumsum(lengths) - lengths)[of]
+    one, two = np.roll(kind, 1), np.roll(kind, 2)
+    context = np.where(place == 0, (1 << 20) + buckets[of], np.where(place == 1, (2 << 20) + buckets[of] * _CHARACTERS + one, one * _CHARACTERS + two))
+    context = ((context * 0x9E3779B1) >> 15) % _CONTEXTS
+    return context * _CHARACTERS + kind, of, np.bincount(of, kind >= _SHARED, len(words))
 
-    return run
 
+@dataclass
+class Spelling:
+    """log p(word | its bucket) by a model of its characters, whose counts are those of all words outside the vocabulary."""
+
+    log_p: np.ndarray
 
-def _score(words: list[str], flat: np.ndarray, like: WindowNet) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, ids = WindowNet.of(flat, like), WordIds(words)
-        for docs, keys in _texts(batches, ids):
-            target, around, of = windows(docs)
-            total = np.bincount(of, net.log_probability(target, around), len(docs)) if len(of) else np.zeros(len(docs))
-            n = np.array([len(d) for d in docs])
-            doc_id, text_key = zip(*keys, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(total), pa.array(text_key, pa.int64())], ["doc_id", "n_words", "log_likelihood", "text_key"])
+    @classmethod
+    def of(cls, cells: np.ndarray, counts: np.ndarray) -> Spelling:
+        n = np.zeros(_CONTEXTS * _CHARACTERS)
+        n[cells] = counts
+        n = n.reshape(_CONTEXTS, _CHARACTERS)
+        base = (n.sum(0) + 1) / (n.sum() + _CHARACTERS)
+        return cls(np.log((n + 4 * base) / (n.sum(1, keepdims=True) + 4)).astype(np.float32).ravel())
 
-    return run
+    def log_probability(self, words: list[str]) -> np.ndarray:
+        if not words:
+            return np.zeros(0)
+        cells, of, shared = _spelt(words, np.fromiter(map(bucket_of, words), np.int64, len(words)))
+        return np.bincount(of, self.log_p[cells].astype(float), len(words)) - shared * np.log(65536.0)
 
 
 @dataclass
 class ScoringModel:
+    """The vocabulary, the spelling of all other words, and the network over the vocabulary and the buckets."""
+
     words: list[str]
+    spelling: Spelling
     net: WindowNet
-    #: (word, log_p) of every word outside the vocabulary, within its bucket, and (bucket, log_p) of any other word there.
-    tail: DataFrame | None = None
-    unseen: DataFrame | None = None
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of the words met, each in one or more rows; the empty word stands for all words."""
-    counts: dict[str, int] = {}
+    counts: Counter[str] = Counter()
 
     def rows() -> pa.RecordBatch:
-        counts[""] = sum(counts.values())
+        counts[""] = counts.total()
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     for b in batches:
         for text in b.column(1):
-            for w in words_of(text.as_py()):
-                counts[w] = counts.get(w, 0) + 1
+            counts.update(words_of(text.as_py()))
             if len(counts) > 200_000:
                 yield rows()
                 counts.clear()
     if counts:
         yield rows()
+    counts.clear()
+    give_back()
+
+
+def _spell(known: list[str]) -> Callable:
+    """(cell, n) of the words outside `known`."""
+    common = frozenset(known)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(_CONTEXTS * _CHARACTERS)
+        for b in batches:
+            rare = [(w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if w and w not in common]
+            if rare:
+                words = [w for w, _ in rare]
+                cells, of, _ = _spelt(words, np.fromiter(map(bucket_of, words), np.int64, len(words)))
+                sums += np.bincount(cells, np.array([n for _, n in rare], float)[of], len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at].astype(np.int64))], ["cell", "n"])
+
+    return run
+
+
+class WordCodes:
+    """Ids and log p(word | bucket) of words; those outside the vocabulary are worked out once and kept while there are not too many."""
+
+    def __init__(self, words: list[str], spelling: Spelling) -> None:
+        self.words, self.spelling = words, spelling
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot = {w: i for i, w in enumerate(self.words)}
+        self.ids, self.spelt = np.arange(len(self.words), dtype=np.int16), np.zeros(len(self.words))
+
+    def encode(self, texts: list[list[str]]) -> list[tuple[np.ndarray, float]]:
+        """(ids, sum of log p within buckets) of each text's words."""
+        if len(self.slot) > _KNOWN_WORDS:
+            self.clear()
+        new = list(set().union(*texts).difference(self.slot))
+        if new:
+            self.slot.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
+            self.ids = np.concatenate([self.ids, np.fromiter((VOCABULARY - BUCKETS + bucket_of(w) for w in new), np.int16, len(new))])
+            self.spelt = np.concatenate([self.spelt, self.spelling.log_probability(new)])
+        slot, out = self.slot.__getitem__, []
+        for words in texts:
+            at = np.fromiter(map(slot, words), np.int64, len(words))
+            out.append((self.ids[at], float(self.spelt[at].sum())))
+        return out
 
-def _counts(texts: DataFrame) -> DataFrame:
-    """(word, n) of (doc_id, text), written to the shared folder; the empty word has the count of all."""
-    return materialize(texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
+def _encode(words: list[str], spelling: Spelling) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = WordCodes(words, spelling)
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                got = codes.encode([words_of(t.as_py()) for t in part.column(1)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(i) for i, _ in got], pa.int64()), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "text_key", "n_words", "ids", "spelt"])
+        del codes
+        give_back()
 
-def _bucket(word: Column) -> Column:
-    """As WordIds has it, without what it adds."""
-    return F.crc32(F.encode(F.when(F.length(word) > 3, F.substring(word, -3, 3)).otherwise(word), "UTF-8")) % BUCKETS
+    return run
 
 
-def _tail(counts: DataFrame, words: list[str]) -> tuple[DataFrame, DataFrame]:
-    """ScoringModel's tail and unseen: each word's count and one more over its bucket's, which has one place for words not met."""
-    common = counts.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    rare = counts.where("word <> ''").join(F.broadcast(common), "word", "left_anti").withColumn("bucket", _bucket(F.col("word")))
-    sums = rare.groupBy("bucket").agg((F.sum("n") + F.count(F.lit(1)) + 1).alias("of"))
-    every = counts.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(sums, "bucket", "left")
-    tail = rare.join(F.broadcast(sums), "bucket").select("word", F.log((F.col("n") + 1) / F.col("of")).alias("log_p"))
-    return materialize(tail, "tail"), materialize(every.select("bucket", F.log(1 / F.coalesce("of", F.lit(1))).alias("log_p")), "unseen")
+def encoded(docs: DataFrame, words: list[str], spelling: Spelling) -> DataFrame:
+    """(doc_id, text_key, n_words, ids, spelt) of each document, in the shared folder: its ids as 16-bit numbers and the sum of log p(word |
+    bucket) of its words outside the vocabulary."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return materialize(texts.mapInArrow(_encode(words, spelling), "doc_id long, text_key long, n_words long, ids binary, spelt double"), "coded")
 
 
-def _rare(words: list[str]) -> Callable:
-    """(text_key, word, n) of the words outside the vocabulary; the empty word counts the text itself."""
-    known = frozenset(words)
+def _train(flat: np.ndarray, like: WindowNet, rate: float) -> Callable:
+    """One row: the places trained on and the sum of places * weights over the trainers (first column) of a partition, whose documents come
+    in order. Each trainer starts from `flat`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, summed, trainer, docs, have, places = 0, np.zeros(len(flat)), None, [], 0, 0
+        net, seen = None, []
+
+        def learn() -> None:
+            t, a, _ = windows(docs)
+            for s in range(0, len(t), _BATCH):
+                for p, g, q in zip(net.parts(), net.gradients(t[s : s + _BATCH], a[s : s + _BATCH]), seen, strict=True):
+                    q += g * g
+                    p -= rate * g / np.sqrt(q)
+
         for b in batches:
-            keys, out, n = [], [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = Counter(w for w in words_of(text.as_py()) if w not in known)
-                got[""] = 1
-                keys += [key] * len(got)
-                out += got.keys()
-                n += got.values()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string()), pa.array(n, pa.int64())], ["text_key", "word", "n"])
+            for own, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if own != trainer:
+                    if have:
+                        learn()
+                    if places:
+                        summed += places * net.flat().astype(float)
+                        total += places
+                    trainer, docs, have, places = own, [], 0, 0
+                    net = WindowNet.of(flat, like)
+                    seen = [np.full_like(p, 1e-6) for p in net.parts()]
+                docs.append(np.frombuffer(ids.as_py(), np.int16))
+                have += len(docs[-1])
+                places += len(docs[-1])
+                if have >= _SPAN:
+                    learn()
+                    docs, have = [], 0
+        if have:
+            learn()
+        if places:
+            summed += places * net.flat().astype(float)
+            total += places
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([summed.tobytes()], pa.binary())], ["places", "weights"])
 
     return run
 
 
-def _within_buckets(texts: DataFrame, model: ScoringModel) -> DataFrame:
-    """(text_key, within): the sum of log p(word | bucket) over each text's words outside the vocabulary."""
-    met = texts.select("text_key", "text").mapInArrow(_rare(model.words), "text_key long, word string, n long")
-    scored = met.join(model.tail, "word", "left").withColumn("bucket", _bucket(F.col("word"))).join(F.broadcast(model.unseen.withColumnRenamed("log_p", "new_p")), "bucket")
-    copies = F.sum(F.when(F.col("word") == "", F.col("n")))
-    own = F.when(F.col("word") == "", F.lit(0.0)).otherwise(F.coalesce("log_p", "new_p"))
-    return scored.groupBy("text_key").agg((F.sum(F.col("n") * own) / copies).alias("within"))
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"places": [pdf["places"].sum()], "weights": [sum(np.frombuffer(w) for w in pdf["weights"]).tobytes()]})
 
 
-def train(docs: DataFrame, rounds: int = 1, rate: float = 0.1) -> ScoringModel:
-    """Fit the network on all documents.
+def fit_network(coded: DataFrame, net: WindowNet, words: int, rounds: int = 1, rate: float = 0.1) -> WindowNet:
+    """`net` trained on every place of `coded` (encoded documents of `words` words in all).
 
-    Words are counted over the whole corpus. Each partition then trains a copy of the network on every place of all its
-    texts (a window never holds its own target), and the copies' weights, each weighed by its places, are averaged (parameter mixing); the sums
-    are taken on the map side, and what comes to the driver is one network. `rounds` repeats this from the average.
+    Documents are dealt by a hash to trainers of about TRAINER_WORDS words. Each trains a copy on all its documents, in order of
+    doc_id and text, and the copies are averaged, each weighed by its places (parameter mixing). Who trains on what depends on the rows
+    alone, not on how they are stored. Sums are added up in a partition, then in groups of partitions; a few arrays come to the driver.
     """
+    trainers = max(1, min(_MOST_TRAINERS, -(-words // TRAINER_WORDS)))
+    trainer = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(trainers))
+    dealt = coded.select(trainer.alias("trainer"), "ids", "doc_id", "text_key").repartitionByRange(trainers, "trainer").sortWithinPartitions("trainer", "doc_id", "text_key").select("trainer", "ids")
+    for _ in range(rounds):
+        sums = dealt.mapInArrow(_train(net.flat(), net, rate), "places long, weights binary")
+        grouped = sums.withColumn("g", F.pmod(F.monotonically_increasing_id().bitwiseXOR(F.spark_partition_id()), F.lit(int(trainers**0.5) + 1)))
+        got = [(r["places"], np.frombuffer(r["weights"])) for r in grouped.groupBy("g").applyInPandas(_add, "places long, weights binary").collect()]
+        if got:
+            net = WindowNet.of(sum(w for _, w in got) / sum(n for n, _ in got), net)
+    return net
+
+
+def _score(net: WindowNet) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs = [np.frombuffer(x.as_py(), np.int16) for x in b.column(2)]
+            total = b.column(3).to_numpy().copy()
+            ends = np.cumsum([len(d) for d in docs])
+            at = 0
+            while at < len(docs):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SPAN, side="right")))
+                target, around, of = windows(docs[at:to])
+                if len(of):
+                    total[at:to] += np.bincount(of, net.log_probability(target, around), to - at)
+                at = to
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total)], ["doc_id", "n_words", "log_likelihood"])
+
+    return run
+
+
+def fit_vocabulary(docs: DataFrame) -> tuple[list[str], Spelling, WindowNet, int]:
+    """The most frequent words of all documents, the spelling of all others, a network that gives their frequencies, and the count of
+    all words. What is gathered, the count of every word, grows with the input; what the driver gets has a fixed size."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counts = _counts(texts)
+    counts = materialize(texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # the empty word has the count of all, so it comes first
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS + 1).collect()
     total, top = (top[0]["n"], top[1:]) if top else (0, [])
     words = [r["word"] for r in top]
+    cells = counts.mapInArrow(_spell(words), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(VOCABULARY)
     n[: len(top)] = [r["n"] for r in top]
     n[VOCABULARY - BUCKETS :] = max(0, total - n.sum()) / BUCKETS
-    net = WindowNet.begin(n)
-    for _ in range(rounds):
-        copies = texts.mapInArrow(_train(words, net.flat(), net, rate), "places long, weights array<double>")
-        summed = copies.select("places", F.posexplode("weights")).groupBy("pos").agg((F.sum(F.col("col") * F.col("places")) / F.sum("places")).alias("w"))
-        got = summed.toArrow()
-        if got.num_rows:
-            flat = np.empty(got.num_rows)
-            flat[got["pos"].to_numpy()] = got["w"].to_numpy()
-            net = WindowNet.of(flat, net)
-    return ScoringModel(words, net, *_tail(counts, words))
+    return words, Spelling.of(cells["cell"].to_numpy(), cells["n"].to_numpy()), WindowNet.begin(n), total
+
+
+def train(docs: DataFrame, rounds: int = 1, rate: float = 0.1) -> ScoringModel:
+    """Count, spell and fit the network on all documents; `rounds` passes, each from the average of the one before."""
+    words, spelling, net, total = fit_vocabulary(docs)
+    return ScoringModel(words, spelling, fit_network(encoded(docs, words, spelling), net, total, rounds, rate))
+
+
+def score_encoded(coded: DataFrame, net: WindowNet) -> DataFrame:
+    got = coded.select("doc_id", "n_words", "ids", "spelt").mapInArrow(_score(net), "doc_id long, n_words long, log_likelihood double")
+    return got.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
 def score(docs: DataFrame, model: ScoringModel) -> DataFrame:
     """doc_id, n_words, log_likelihood (sum over all words of log p(word | both sides)), and its mean, for each document.
 
-    A word outside the vocabulary counts as its bucket and, within that, by its own count in the corpus trained on; where a model has
-    no such counts, those of docs are taken. Null and empty texts have the sum 0 and no mean. Repeated rows are each scored.
+    A word outside the vocabulary counts as its bucket, given both sides, and then by its spelling, given its bucket. Null and empty texts
+    have the sum 0 and no mean. Repeated rows are each scored; columns besides doc_id and text are not read.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if model.tail is None:
-        model = ScoringModel(model.words, model.net, *_tail(_counts(texts), model.words))
-    texts = texts.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    placed = texts.mapInArrow(_score(model.words, model.net.flat(), model.net), "doc_id long, n_words long, log_likelihood double, text_key long")
-    total = F.col("log_likelihood") + F.col("within")
-    return placed.join(_within_buckets(texts, model), "text_key").select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))
+    return score_encoded(encoded(docs, model.words, model.spelling), model.net)
 
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    words, spelling, net, total = fit_vocabulary(docs)
+    coded = encoded(docs, words, spelling)
+    return score_encoded(coded, fit_network(coded, net, total))

@@ -195,35 +195,83 @@ def test_windows():
     assert t.tolist() == [1, 2, 3, 4] and of.tolist() == [0, 0, 0, 2] and a.tolist() == [[o, o, 2, 3], [o, 1, 3, o], [1, 2, o, o], [o, o, o, o]]
 
 
+def brute_likelihood(text, model):
+    """The sum of log p of a text's words: a dense softmax over the whole vocabulary for each place, and each spelling cell by cell."""
+    net, words = model.net, pseudolm.words_of(text)
+    at = {w: i for i, w in enumerate(model.words)}
+    ids = [at.get(w, pseudolm.VOCABULARY - pseudolm.BUCKETS + pseudolm.bucket_of(w)) for w in words]
+    pad = [pseudolm.VOCABULARY]
+    total = 0.0
+    for k, (w, i) in enumerate(zip(words, ids, strict=True)):
+        h = net.bias.astype(float)
+        for gate, r in zip(net.gate, pseudolm.REACH, strict=True):
+            h = h + net.embed[(ids[k + r : k + r + 1] or pad)[0] if k + r >= 0 else pad[0]] * gate
+        h = np.tanh(h)
+        z = h @ net.to_class + net.class_bias
+        per = pseudolm.VOCABULARY // pseudolm.CLASSES
+        y = h @ net.to_word[i // per] + net.word_bias[i // per]
+        total += z[i // per] - np.log(np.exp(z).sum()) + y[i % per] - np.log(np.exp(y).sum())
+        if w not in at:
+            total += model.spelling.log_probability([w])[0]
+    return total
+
+
 def test_training_helps_and_odd(spark, documents, odd, none):
     model = pseudolm.train(documents)
     counted = {r["doc_id"]: r for r in pseudolm.score(documents, model).collect()}
-    start = pseudolm.ScoringModel(model.words, pseudolm.WindowNet.begin(np.ones(pseudolm.VOCABULARY)))
+    start = pseudolm.ScoringModel(model.words, model.spelling, pseudolm.fit_vocabulary(documents)[2])
     before = pseudolm.score(documents, start).agg(F.sum("log_likelihood")).first()[0]
     assert sum(r["log_likelihood"] for r in counted.values()) > before
-    assert all(r["n_words"] == len(pseudolm.words_of(t)) for (d, t) in documents.select("doc_id", "text").collect() for r in [counted[d]])
+    texts = dict(documents.select("doc_id", "text").collect())
+    assert all(counted[d]["n_words"] == len(pseudolm.words_of(t)) for d, t in texts.items())
+    for d in sorted(texts)[::20]:
+        assert np.isclose(counted[d]["log_likelihood"], brute_likelihood(texts[d], model), rtol=1e-4)
     got = pseudolm.score(odd, model).collect()
     assert len(got) == len(ODD) and next(r for r in got if r["doc_id"] == 1)["mean_log_likelihood"] is None
     assert pseudolm.score(none, pseudolm.train(none)).count() == 0
 
 
+def test_training_helps_unseen_documents(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    unseen = documents.where("doc_id % 10 = 3")
+    seen = documents.join(unseen.select(F.xxhash64("text").alias("k")), F.xxhash64("text") == F.col("k"), "left_anti")
+    words, spelling, begin, total = pseudolm.fit_vocabulary(seen)
+    net = pseudolm.fit_network(pseudolm.encoded(seen, words, spelling), begin, total)
+    coded = pseudolm.encoded(unseen, words, spelling)
+    mean = lambda n: pseudolm.score_encoded(coded, n).agg(F.sum("log_likelihood") / F.sum("n_words")).first()[0]
+    assert mean(net) > mean(begin) + 0.02
+    # words that are not words score below nearly all documents, also where they share an ending
+    rng = np.random.default_rng(3)
+    made = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    odd = [(1, " ".join(made(8) for _ in range(300))), (2, " ".join(made(6) + "ing" for _ in range(300)))]
+    model = pseudolm.ScoringModel(words, spelling, net)
+    scores = sorted(r["mean_log_likelihood"] for r in pseudolm.score(unseen.where("n_chars > 200"), model).collect())
+    for r in pseudolm.score(spark.createDataFrame(odd, "doc_id long, text string"), model).collect():
+        assert r["mean_log_likelihood"] < scores[len(scores) // 20]
+
+
+def test_layout_does_not_matter(spark, documents, monkeypatch):
+    monkeypatch.setattr(pseudolm, "TRAINER_WORDS", 10_000)
+    got = [dict(rows(pseudolm.score(documents.repartition(n), pseudolm.train(documents.repartition(n))).select("doc_id", "mean_log_likelihood"), "doc_id")) for n in (1, 8, 64)]
+    for d, v in got[0].items():
+        assert all((v is None and g[d] is None) or abs(v - g[d]) < 1e-5 for g in got[1:])
+
+
 def test_every_place_is_trained():
-    docs = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, None]), pa.array(["one two three", "four", None, "five " * 50])], ["doc_id", "text"])
     net = pseudolm.WindowNet.begin(np.ones(pseudolm.VOCABULARY))
-    got = list(pseudolm._train(["one"], net.flat(), net, 0.1)(iter([docs])))
-    assert [b.column(0).to_pylist() for b in got] == [[54]]
-
-
-def test_words_within_buckets(spark):
-    common = " ".join(f"c{i}" for i in range(pseudolm.VOCABULARY - pseudolm.BUCKETS)) + " "
-    docs = [(i, common * 3) for i in range(20)] + [(30, "qqing " * 9), (31, "zzing"), (31, "zzing"), (32, "é"), (33, None)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    model = pseudolm.train(frame)
-    odd = spark.createDataFrame([(1, "qqing"), (2, "zzing"), (2, "zzing"), (3, "vving"), (4, "é"), (5, None)], "doc_id long, text string")
-    got = rows(pseudolm.score(odd, model).select("doc_id", "log_likelihood"), "doc_id")
-    p = dict(got)
-    assert len(got) == 6 and got[1] == got[2] and p[5] == 0
-    assert np.allclose([p[1] - p[2], p[2] - p[3]], np.log([10 / 3, 3]))
+    ids = [np.arange(n, dtype=np.int16).tobytes() for n in (3, 0, 50, 7)]
+    docs = pa.RecordBatch.from_arrays([pa.array([0, 0, 1, 1]), pa.array(ids, pa.binary())], ["trainer", "ids"])
+    (got,) = pseudolm._train(net.flat(), net, 0.1)(iter([docs]))
+    assert got.column(0).to_pylist() == [60]
+
+
+def test_spelling_is_a_distribution():
+    rng = np.random.default_rng(0)
+    cells = np.unique(rng.integers(0, pseudolm._CONTEXTS * pseudolm._CHARACTERS, 5000))
+    p = np.exp(pseudolm.Spelling.of(cells, rng.integers(1, 9, len(cells))).log_p.reshape(pseudolm._CONTEXTS, -1).astype(float))
+    assert np.allclose(p.sum(1), 1, atol=1e-4)
+    words = ["a", "zebra", "ab\u0000c", "漢字", "x" * 500]
+    assert np.isfinite(pseudolm.Spelling.of(cells, np.ones(len(cells))).log_probability(words)).all()
 
 
 # --- 5
