@@ -38,10 +38,19 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of z, less what is subtracted: the greatest of z or, where values are far apart, of each row; the sums of rows; and what is
+    subtracted. In place."""
+    top = z.max()
+    less = z.max(1) if top - z.min() > 40 else top
+    z -= np.reshape(less, (-1, 1))
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    return z, z @ np.ones(z.shape[1], z.dtype), less
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z, total, _ = _exp(z)
+    z *= (1 / total)[:, None]
     return z
 
 
@@ -89,13 +98,11 @@ class WindowNet:
             h += self.embed[around[:, k]] * self.gate[k]
         return np.tanh(h, out=h)
 
-    def _by_class(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        cls = target // (VOCABULARY // CLASSES)
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of targets by class, and where each class ends in it."""
+        cls = (target // (VOCABULARY // CLASSES)).astype(np.int16)
         order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            if ends[c] < ends[c + 1]:
-                yield c, order[ends[c] : ends[c + 1]]
+        return order, np.searchsorted(cls[order], np.arange(CLASSES + 1))
 
     def log_probability(self, target: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Of each target given its window."""
@@ -103,16 +110,21 @@ class WindowNet:
         per = VOCABULARY // CLASSES
 
         def picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-            z -= z.max(1, keepdims=True)
             own = z[np.arange(len(z)), at].astype(float)
-            return own - np.log(np.exp(z, out=z).sum(1))
+            _, total, less = _exp(z)
+            return own - less - np.log(total)
 
         for s in range(0, len(target), _BATCH):
             t = target[s : s + _BATCH]
             h = self.hidden(around[s : s + _BATCH])
             got = picked(h @ self.to_class + self.class_bias, t // per)
-            for c, rows in self._by_class(t):
-                got[rows] += picked(h[rows] @ self.to_word[c] + self.word_bias[c], t[rows] % per)
+            order, ends = self._by_class(t)
+            hs, ts, words = h[order], t[order] % per, np.empty(len(t))
+            for c in range(CLASSES):
+                own = slice(ends[c], ends[c + 1])
+                if ends[c] < ends[c + 1]:
+                    words[own] = picked(hs[own] @ self.to_word[c] + self.word_bias[c], ts[own])
+            got[order] += words
             out[s : s + _BATCH] = got
         return out
 
@@ -126,16 +138,21 @@ class WindowNet:
         back = z @ self.to_class.T
         to_class, class_bias = h.T @ z, z.sum(0)
         to_word, word_bias = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
-        for c, rows in self._by_class(target):
-            w = _softmax(h[rows] @ self.to_word[c] + self.word_bias[c])
-            w[np.arange(len(rows)), target[rows] % per] -= 1
-            w /= n
-            to_word[c], word_bias[c] = h[rows].T @ w, w.sum(0)
-            back[rows] += w @ self.to_word[c].T
+        order, ends = self._by_class(target)
+        hs, ts, more = h[order], target[order] % per, np.empty_like(h)
+        for c in range(CLASSES):
+            own = slice(ends[c], ends[c + 1])
+            if ends[c] < ends[c + 1]:
+                w = _softmax(hs[own] @ self.to_word[c] + self.word_bias[c])
+                w[np.arange(len(w)), ts[own]] -= 1
+                to_word[c], word_bias[c], more[own] = hs[own].T @ w, w.sum(0), w @ self.to_word[c].T
+        to_word /= n
+        word_bias /= n
+        back[order] += more / h.dtype.type(n)
         back *= 1 - h * h
         embed, gate = np.zeros_like(self.embed), np.empty_like(self.gate)
         for k in range(len(REACH)):
-            at = around[:, k]
+            at = around[:, k].astype(np.int16)
             order = np.argsort(at, kind="stable")
             first = np.flatnonzero(np.diff(at[order], prepend=-1))
             sums, ids = np.add.reduceat(back[order], first, axis=0), at[order[first]]
