@@ -92,10 +92,30 @@ def test_cover_tree_invariants():
 
 
 def test_huge_components_are_exact(spark):
-    big = float(2**40)
-    data = [(0, [big, 1.0]), (1, [big / 2**30, 3.0]), (2, [big / 2**30, 4.0])]
-    got = covertree.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 1)
-    assert rows(got, "rank")[0][2] == 2
+    big = float(2**24)
+    data = [(0, [big, 1 / 64]), (1, [big, 3 / 64]), (2, [big, 4 / 64]), (3, [big, 5 / 64]), (4, [-big, 5 / 64])]
+    got = covertree.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 3)
+    assert [(r["vec_id"], r["score"]) for r in got.orderBy("rank").collect()] == [(3, 2**60 + 5), (2, 2**60 + 4), (1, 2**60 + 3)]
+    over = [(0, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [-1e30, 1.0])]
+    got = covertree.top_k(spark.createDataFrame(over, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 2)
+    assert [(r["vec_id"], r["score"]) for r in got.orderBy("rank").collect()] == [(1, 2**63 - 1), (2, 1 - 2**63)]
+
+
+def test_top_k_leaves_out_block_pairs(spark):
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(12, 16)) * 20
+    v = np.concatenate([c + rng.normal(size=(100, 16)) * 0.3 for c in centers])
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    pairs, never = covertree.block_pairs(frame, F.col("vec_id") % 20 == 0, 5, block_rows=64)
+    assert pairs > 100 and never > 0.5 * pairs
+    got = covertree.top_k(frame, F.col("vec_id") % 20 == 0, 5, block_rows=64)
+    q = np.floor(64 * v).astype(int)
+    want = []
+    for i in range(0, len(v), 20):
+        s = q @ q[i]
+        order = sorted((j for j in range(len(v)) if j != i), key=lambda j: (-s[j], j))[:5]
+        want += [(i, n + 1, j, int(s[j])) for n, j in enumerate(order)]
+    assert rows(got, "query_id", "rank") == want
 
 
 # --- 2
@@ -526,6 +546,23 @@ def test_shingle_prefixes_meet(share):
 # --- 10
 
 
+def leaves(t):
+    return [(x.short, x.size) for s in t[1] for p in s.children for x in p.children]
+
+
+def brute_near(a, b):
+    """Bounds of the likeness: no more than any order of equal leaves allows, no less than the longest common start."""
+    x, y = leaves(merkle.tree(a)), leaves(merkle.tree(b))
+    size = len(a) + len(b)
+    most = sum(k * n for (_, n), k in (Counter(x) & Counter(y)).items())
+    start = 0
+    for p, q in zip(x, y, strict=False):
+        if p != q:
+            break
+        start += p[1]
+    return (2 * start / size, 2 * most / size) if size else (1.0, 1.0)
+
+
 @pytest.mark.parametrize("buckets", [1, 3, 40])
 def test_merkle_brute_force(spark, documents, texts, buckets):
     ids = sorted(texts, reverse=True)
@@ -535,16 +572,44 @@ def test_merkle_brute_force(spark, documents, texts, buckets):
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
         r = got[d]
-        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["fingerprint"] == merkle.fingerprint_string(*merkle.summary(t))
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["fingerprint"] == merkle.fingerprint_string(merkle.tree(t))
         assert np.isclose(r["near_edited"], merkle.likeness(merkle.parse(r["fingerprint"]), merkle.parse(r["edited_fingerprint"])))
         assert (r["near_edited"] == 1) == (edited == t) and (r["near_next"] == 1) == (t == nxt)
+        for near, other in ((r["near_edited"], edited), (r["near_next"], nxt)):
+            low, high = brute_near(t, other)
+            assert low - 1e-9 <= near <= high + 1e-9
+
+
+def test_merkle_alignment_brute_force():
+    """On one level, as many characters are matched as by a longest common subsequence where no line repeats."""
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        lines = [f"line {k} {rng.integers(10**6)}." for k in range(25)]
+        other = [x for x in lines if rng.random() > 0.2]
+        other[5:5] = ["new line."]
+        other = other[::-1] if rng.random() < 0.1 else other
+        best = np.zeros((len(lines) + 1, len(other) + 1))
+        size = lambda k: len(lines[k]) + (k + 1 < len(lines))
+        for i in range(len(lines)):
+            for j in range(len(other)):
+                same = lines[i] == other[j] and (i + 1 < len(lines)) == (j + 1 < len(other))
+                best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + 1 if same else 0)
+        a, b = merkle.tree("\n".join(lines)), merkle.tree("\n".join(other))
+        near, edits = merkle.compare(a, b)
+        assert len(other) - len(edits) == best[-1, -1] and 0 <= near < 1
 
 
 def test_merkle_tree_and_edits(odd, none):
     a = "Head.\n\nOne line. Two, three.\nLast line.\n\nEnd."
-    assert "\n".join(p for s in merkle.sections(a) for p in s) == a
+    assert "".join(p for s in merkle.sections(a) for p in s) == a
     b = a.replace("Last", "Lost")
     assert merkle.tree(a)[0] != merkle.tree(b)[0] and merkle.locate_edits(a, b) == [(1, 1)] and merkle.locate_edits(a, a) == []
+    many = "\n".join(f"Paragraph {k}." for k in range(40))
+    assert merkle.locate_edits(many, "New.\n" + many) == [(0, 0)]
+    plain = " ".join(f"w{k}" for k in range(3000))
+    assert "".join(merkle.phrases(plain)) == plain and len(merkle.phrases(plain)) > 100
+    assert 0.9 < merkle.likeness(merkle.tree(plain), merkle.tree(plain.replace("w1500", "changed"))) < 1
+    assert "".join(merkle.phrases("x" * 50_000)) == "x" * 50_000 and "".join(merkle.phrases(" " * 500)) == " " * 500
     assert merkle.edit_fingerprints(odd).count() == len(ODD) and merkle.edit_fingerprints(none).count() == 0
     assert merkle.edit_fingerprints(odd.where("doc_id = 9")).first()["near_next"] == 1.0
 
