@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,10 +23,91 @@ def all_pairs(df: DataFrame, key: str = "id", value: str = "trace", tiles: int =
     return met.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), F.when(first, F.col("va")).otherwise(F.col("vb")).alias("x"), F.when(first, F.col("vb")).otherwise(F.col("va")).alias("y"))
 
 
-def pearson_matrix(df: DataFrame, key: str = "id", trace: str = "trace") -> DataFrame:
-    """(i, j, r) for all i < j of traces of one length: each is centered and scaled once, a pair is then one inner product."""
+def _tiles(df: DataFrame, rows: int = 512) -> int:
+    """So many tiles that each has about `rows` rows; a task of a pair kernel holds two of them."""
+    return max(4, -(-df.count() // rows))
+
+
+def _products(df: DataFrame, key: str, trace: str, schema: str, of: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]) -> DataFrame:
+    """`of` (i, j, r) over all pairs i < j of two tiles: each trace is centered and scaled once, and a pair of tiles is one matrix product.
+    r is NaN where a trace is constant, empty or has a null."""
+    from eventloom.operators.kernels import tiled_pairs
+
     unit = A.let(A.let(A.mean(trace), lambda m: F.transform(trace, lambda v: v - m)), lambda c: A.let(F.sqrt(A.dot(c, c)), lambda s: F.transform(c, lambda v: F.try_divide(v, s))))
-    return all_pairs(df.select(key, unit.alias("u")), key, "u").select("i", "j", A.dot("x", "y").alias("r"))
+    units = df.select(key, unit.alias("u"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["ti"].iloc[0] == pdf["tj"].iloc[0]
+        n = max(len(u) if u is not None else 0 for u in pdf["value"])
+        m = np.full((len(pdf), n), np.nan)
+        for row, u in zip(m, pdf["value"], strict=True):
+            if u is not None and len(u) == n:
+                row[:] = np.asarray(u, float)
+        keys, side = pdf["key"].to_numpy(), pdf["side"].to_numpy()
+        if same:
+            order = np.argsort(keys, kind="stable")
+            keys, m = keys[order], m[order]
+            a, b = np.triu_indices(len(keys), 1)
+            r, one, two = (m @ m.T)[a, b], keys[a], keys[b]
+        else:
+            r = (m[side == 0] @ m[side == 1].T).ravel()
+            one, two = np.repeat(keys[side == 0], (side == 1).sum()), np.tile(keys[side == 1], (side == 0).sum())
+        return of(np.minimum(one, two), np.maximum(one, two), r)
+
+    return tiled_pairs(units, key, "u", _tiles(df)).groupBy("ti", "tj").applyInPandas(run, schema)
+
+
+def pearson_matrix(df: DataFrame, key: str = "id", trace: str = "trace", low: float | None = None, high: float | None = None) -> DataFrame:
+    """(i, j, r) for all i < j of traces of one length, or of those with low <= r < high; other pairs then never leave their tile. r is NULL
+    where a trace is constant."""
+
+    def rows(i: np.ndarray, j: np.ndarray, r: np.ndarray) -> pd.DataFrame:
+        if low is not None or high is not None:
+            keep = (r >= (-np.inf if low is None else low)) & (r < (np.inf if high is None else high))
+            i, j, r = i[keep], j[keep], r[keep]
+        return pd.DataFrame({"i": i, "j": j, "r": r})
+
+    return _products(df, key, trace, "i long, j long, r double", rows)
+
+
+def pearson_histogram(df: DataFrame, low: float, high: float, bins: int, key: str = "id", trace: str = "trace") -> DataFrame:
+    """histogram() of all pairs' r, counted in the tiles."""
+
+    def rows(i: np.ndarray, j: np.ndarray, r: np.ndarray) -> pd.DataFrame:
+        r = r[(r >= low) & (r <= high)]
+        at = np.minimum(np.floor((r - low) / ((high - low) / bins)), bins - 1).astype(np.int64)
+        n = np.bincount(at, minlength=bins)
+        return pd.DataFrame({"bin": np.arange(bins), "n": n})
+
+    counted = _products(df, key, trace, "bin long, n long", rows).groupBy("bin").agg(F.sum("n").alias("n"))
+    return df.sparkSession.range(bins).select(F.col("id").alias("bin")).join(counted, "bin", "left").na.fill(0, ["n"])
+
+
+def ragged_pearson_matrix(df: DataFrame, key: str = "id", trace: str = "trace", compat: bool = False) -> DataFrame:
+    """(i, j, r) for all i < j of traces of any lengths: the largest correlation over the shifts of the shorter within the longer."""
+    return all_pairs(df, key, trace, _tiles(df)).select("i", "j", A.ragged_pearson("x", "y", compat).alias("r"))
+
+
+def map_edges(edges: DataFrame, nodes: DataFrame, index: str = "i_idx", name: str = "trace_idx") -> DataFrame:
+    """(source, target): edges (i, j) of matrix places under the names that `nodes` (index, name) gives both ends."""
+    one, two = (nodes.select(F.col(index).alias(c), F.col(name).alias(to)) for c, to in (("i", "source"), ("j", "target")))
+    return edges.join(one, "i").join(two, "j").select("source", "target")
+
+
+def members(barycenters: DataFrame, cluster: str = "cluster", index: str = "idx") -> DataFrame:
+    """(item, cluster) from one row a barycenter with the list of its items."""
+    return barycenters.select(F.explode(index).alias("item"), F.col(cluster).alias("cluster"))
+
+
+def nearest(df: DataFrame, centers: DataFrame, columns: list[str], key: str = "id", name: str = "center") -> DataFrame:
+    """(key, name): the center (name, columns) nearest each row, ties to the smaller name. The centers are a stated small set: 10,000 at
+    most, collected to one row; more are an error."""
+    if centers.limit(10_001).count() > 10_000:
+        raise ValueError("nearest() takes at most 10,000 centers")
+    all_ = centers.agg(F.sort_array(F.collect_list(F.struct(F.col(name).alias("name"), *(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns))))).alias("_c"))
+    gap = lambda c: sum(((F.col(x) - c[f"c{k}"]) * (F.col(x) - c[f"c{k}"]) for k, x in enumerate(columns)), F.lit(0.0))
+    best = F.array_min(F.transform("_c", lambda c: F.struct(gap(c).alias("d"), c["name"].alias("name"))))["name"]
+    return df.join(F.broadcast(all_), how="cross").select(key, best.alias(name))
 
 
 def euclidean_matrix(df: DataFrame, key: str = "id", trace: str = "trace") -> DataFrame:

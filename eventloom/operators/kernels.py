@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 # --- peaks
 
 
-def find_peaks(x: np.ndarray, height: float | None = None, prominence: float | None = None, width: float | None = None, distance: int | None = None, wlen: int | None = None, rel_height: float = 0.5) -> pd.DataFrame:
+def find_peaks(x: np.ndarray, height: float | None = None, prominence: float | None = None, width: float | None = None, distance: int | None = None, wlen: int | None = None, rel_height: float = 0.5, plateau_size: int | None = None) -> pd.DataFrame:
     """Local maxima (the middle of a flat top) with prominence, bases, width and interpolated edges at rel_height of the prominence.
 
     A base is the lowest place between the peak and the next higher sample on its side, within wlen / 2 samples if wlen is given.
-    Of peaks closer than `distance` the higher stays.
+    Of peaks closer than `distance` the higher stays; a flat top has at least plateau_size samples if that is given.
     """
     x = np.asarray(x, float)
     n, peaks, i = len(x), [], 1
@@ -25,7 +25,7 @@ def find_peaks(x: np.ndarray, height: float | None = None, prominence: float | N
             j = i
             while j < n - 1 and x[j + 1] == x[i]:
                 j += 1
-            if j < n - 1 and x[j + 1] < x[i]:
+            if j < n - 1 and x[j + 1] < x[i] and (plateau_size is None or j - i + 1 >= plateau_size):
                 peaks.append((i + j) // 2)
             i = j
         i += 1
@@ -109,23 +109,18 @@ def temporal_mask(voxels: DataFrame, **options) -> DataFrame:
 
 
 def triangle_level(values: np.ndarray, bins: int = 256) -> float:
-    """Triangle threshold: the histogram's level farthest from the line between its mode and the end of its longer tail."""
+    """Triangle threshold: of the histogram's bins from its mode to the end of its longer tail, the center of the one that lies farthest
+    below the straight line from the mode's count to zero at that end; ties to the bin nearest the mode."""
     hist, edges = np.histogram(values, bins)
     centers = (edges[:-1] + edges[1:]) / 2
-    top = int(hist.argmax())
+    mode = int(hist.argmax())
     low, high = np.flatnonzero(hist)[[0, -1]]
-    flip = top - low > high - top
-    if flip:
-        hist, low, top = hist[::-1], bins - 1 - high, bins - 1 - top
-        high = bins - 1 - np.flatnonzero(hist[::-1])[0]
-    width, peak = high - top, float(hist[top])
-    if width == 0:
-        return float(centers[bins - 1 - top if flip else top])
-    norm = np.hypot(peak, width)
-    x = np.arange(width)
-    distance = (peak / norm) * x - (width / norm) * hist[top : top + width]
-    level = int(distance.argmax()) + top
-    return float(centers[bins - 1 - level if flip else level])
+    end = int(low if mode - low > high - mode else high)
+    if end == mode:
+        return float(centers[mode])
+    way = np.arange(mode, end + (1 if end > mode else -1), 1 if end > mode else -1)
+    line = hist[mode] * (1 - np.arange(len(way)) / (len(way) - 1))
+    return float(centers[way[int(np.argmax(line - hist[way]))]])
 
 
 def spatial_mask(voxels: DataFrame, depth: int = 1, ratio: float = 1.1) -> DataFrame:
@@ -194,6 +189,8 @@ def dtw_many(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 LOCAL: dict[str, Callable] = {
     "euclidean": lambda a, b: np.abs(a - b), "sqeuclidean": lambda a, b: (a - b) ** 2, "cityblock": lambda a, b: np.abs(a - b), "chebyshev": lambda a, b: np.abs(a - b),
     "canberra": lambda a, b: np.where((d := np.abs(a) + np.abs(b)) > 0, np.abs(a - b) / np.where(d > 0, d, 1), 0.0), "braycurtis": lambda a, b: np.where((d := np.abs(a + b)) > 0, np.abs(a - b) / np.where(d > 0, d, 1), 0.0),
+    # of single values, as the multivariate definitions give for vectors of one: opposite signs are farthest apart, equal ones alike
+    "cosine": lambda a, b: np.where((a == 0) | (b == 0), 0.0, 1 - np.sign(a) * np.sign(b)), "correlation": lambda a, b: np.zeros(np.broadcast(a, b).shape), "minkowski": lambda a, b: np.abs(a - b), "jensenshannon": lambda a, b: np.zeros(np.broadcast(a, b).shape),
     "rbf": lambda a, b: 1 - np.exp(-((a - b) ** 2) / 2), "discrete": lambda a, b: (a != b).astype(float),
 }
 
@@ -207,8 +204,14 @@ def tiled_pairs(df: DataFrame, key: str = "id", value: str = "trace", tiles: int
     return d.select(F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"), (F.col("t") > F.col("o")).cast("int").alias("side"), "key", "value")
 
 
-def pair_distances(df: DataFrame, key: str = "id", value: str = "trace", tiles: int = 8, measure: Callable[[np.ndarray, np.ndarray], float] | None = None) -> DataFrame:
-    """(i, j, d) for all i < j: dynamic time warping, or a measure of two traces. An empty trace has no distance (NaN)."""
+def pair_distances(df: DataFrame, key: str = "id", value: str = "trace", tiles: int = 8, measure: Callable[[np.ndarray, np.ndarray], float] | None = None, window: int | None = None, slope: float | None = None, local: str | None = None, sigma: float | None = None) -> DataFrame:
+    """(i, j, d) for all i < j: dynamic time warping, or a measure of two traces. An empty trace has no distance (NaN).
+
+    window: a Sakoe-Chiba band; slope: an Itakura parallelogram; local: a name in LOCAL; sigma: exp(-d^2 / sigma^2) in place of d.
+    """
+    if measure is None and (window is not None or slope is not None or local is not None):
+        own = LOCAL[local] if local else None
+        measure = lambda a, b: dtw(a, b, window, slope, own)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["ti"].iloc[0] == pdf["tj"].iloc[0]
@@ -227,6 +230,7 @@ def pair_distances(df: DataFrame, key: str = "id", value: str = "trace", tiles:
                 for s in range(0, len(full), 256):
                     d[full[s : s + 256]] = dtw_many(vec[a], [vec[b] for b in full[s : s + 256]])
                 d = d[with_]
+            d = d if sigma is None else np.exp(-(d**2) / sigma**2)
             out.append(pd.DataFrame({"i": np.minimum(keys[a], keys[with_]), "j": np.maximum(keys[a], keys[with_]), "d": d}))
         return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "d": []})
 
@@ -273,12 +277,39 @@ def linkage(d: np.ndarray, method: str = "average", rows_as_vectors: bool = Fals
     return np.array(out).reshape(-1, 4)
 
 
-def flat_clusters(merges: np.ndarray, n: int, cutoff: float, criterion: str = "distance") -> np.ndarray:
-    """Labels from 1 in the order of items: distance (merges of height <= cutoff) or maxclust (at most cutoff clusters)."""
-    if criterion == "maxclust":
-        heights = np.sort(merges[:, 2]) if len(merges) else np.array([])
+def inconsistency(merges: np.ndarray, n: int, depth: int = 2) -> np.ndarray:
+    """For each merge (height - mean) / deviation over the heights of it and the merges at most depth - 1 levels under it; 0 without deviation."""
+    out = np.zeros(len(merges))
+    for k in range(len(merges)):
+        heights, level = [], [k]
+        for _ in range(depth):
+            heights += [merges[m, 2] for m in level]
+            level = [int(c) - n for m in level for c in merges[m, :2] if c >= n]
+        spread = np.std(heights, ddof=1) if len(heights) > 1 else 0.0
+        out[k] = (merges[k, 2] - np.mean(heights)) / spread if spread > 0 else 0.0
+    return out
+
+
+def _largest_below(merges: np.ndarray, n: int, value: np.ndarray) -> np.ndarray:
+    """The largest value of each merge and all under it."""
+    out = np.array(value, float)
+    for k in range(len(merges)):
+        out[k] = max([out[k], *(out[int(c) - n] for c in merges[k, :2] if c >= n)])
+    return out
+
+
+def flat_clusters(merges: np.ndarray, n: int, cutoff: float, criterion: str = "distance", monocrit: np.ndarray | None = None, depth: int = 2) -> np.ndarray:
+    """Labels from 1 in the order of items. distance: merges whose and whose parts' heights are <= cutoff; inconsistent: the same of their
+    inconsistency; monocrit: of a value for each merge; maxclust and maxclust_monocrit: the least bound on the height or the value
+    that leaves at most cutoff clusters."""
+    value = {"inconsistent": lambda: inconsistency(merges, n, depth), "monocrit": lambda: monocrit, "maxclust_monocrit": lambda: monocrit}.get(criterion, lambda: merges[:, 2])()
+    if value is None:
+        raise ValueError(f"{criterion} needs a value for each merge")
+    top = _largest_below(merges, n, value)
+    if criterion.startswith("maxclust"):
+        ranked = np.sort(top)
         keep = max(0, n - int(cutoff))
-        cutoff = heights[keep - 1] if keep and len(heights) else -np.inf
+        cutoff = ranked[keep - 1] if keep and len(ranked) else -np.inf
     parent = list(range(n + len(merges)))
 
     def root(i: int) -> int:
@@ -286,8 +317,8 @@ def flat_clusters(merges: np.ndarray, n: int, cutoff: float, criterion: str = "d
             i = parent[i]
         return i
 
-    for k, (a, b, h, _) in enumerate(merges):
-        if h <= cutoff:
+    for k, (a, b, _, _) in enumerate(merges):
+        if top[k] <= cutoff:
             parent[root(int(a))] = parent[root(int(b))] = n + k
     names: dict[int, int] = {}
     return np.array([names.setdefault(root(i), len(names) + 1) for i in range(n)])

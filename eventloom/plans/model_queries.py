@@ -10,6 +10,7 @@ from eventloom.operators import kernels as K
 from eventloom.operators import learn as L
 from eventloom.operators.events import sequential_split
 from eventloom.plans.registry import query, r6, s6
+from eventloom.sources import storage
 from eventloom.sources.adapters import Tables
 
 def _r(t: Tables) -> DataFrame:
@@ -23,12 +24,12 @@ def pearson_pairs(t: Tables) -> DataFrame:
 
 @query(f"select b.i as bin, count(r) as n from range(20) b(i) left join rs on least(floor((r + 1) / 0.1)::bigint, 19) = b.i and r between -1 and 1 group by b.i", "rs")
 def corr_histogram(t: Tables) -> DataFrame:
-    return G.histogram(_r(t), "r", -1, 1, 20)
+    return G.pearson_histogram(t.traces_equal(), -1, 1, 20)
 
 
 @query(f"with h as (select b.i as bin, count(r) as n from range(20) b(i) left join rs on least(floor((r + 1) / 0.1)::bigint, 19) = b.i group by b.i) select bin, n, {s6('sum(n) over (order by bin desc) / sum(n) over ()')} as share from h", "rs")
 def corr_cumulative(t: Tables) -> DataFrame:
-    h = G.reverse_cumulative(G.histogram(_r(t), "r", -1, 1, 20))
+    h = G.reverse_cumulative(G.pearson_histogram(t.traces_equal(), -1, 1, 20))
     return h.select("bin", "n", r6("share").alias("share"))
 
 
@@ -55,14 +56,14 @@ _similar("reverse", "r - d", biggest=True)
 
 @query(f"with e as (select i, j from rs where r >= 0.2 and r < 0.9) select 'edge' as kind, count(*) as n from e union all select 'node', count(distinct k) from (select i as k from e union all select j from e)", "rs")
 def graph_nodes_edges(t: Tables) -> DataFrame:
-    e = G.edges_in(_r(t), 0.2, 0.9)
+    e = storage.materialize(G.pearson_matrix(t.traces_equal(), low=0.2, high=0.9), "edges")
     edges = e.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("kind"), "n")
     return edges.union(G.nodes_of(e).agg(F.count(F.lit(1)).alias("n")).select(F.lit("node").alias("kind"), "n"))
 
 
 @query(f"select i, j, case when i % 3 = j % 3 then i % 3 else -1 end as module from rs where r >= 0.2 and r < 0.9", "rs")
 def edge_module(t: Tables) -> DataFrame:
-    e = G.edges_in(_r(t), 0.2, 0.9).select("i", "j")
+    e = storage.materialize(G.pearson_matrix(t.traces_equal(), low=0.2, high=0.9).select("i", "j"), "edges")
     m = G.nodes_of(e).select("node", (F.col("node") % 3).alias("module"))
     return G.edge_modules(e, m).select("i", "j", "module")
 
@@ -75,12 +76,12 @@ def module_summary(t: Tables) -> DataFrame:
 
 @query(f"with recursive e as (select i as a, j as b from rs where r >= 0.5 union all select j, i from rs where r >= 0.5), w(node, root) as (select a, a from e union select e.b, w.root from w join e on e.a = w.node where w.root < e.b) select node, min(root) as root from w group by node", "rs")
 def graph_components(t: Tables) -> DataFrame:
-    return G.components_by_label(_r(t).where("r >= 0.5"))
+    return G.components_by_label(G.pearson_matrix(t.traces_equal(), low=0.5))
 
 
 @query()
 def greedy_modularity(t: Tables) -> DataFrame:
-    return G.communities(G.edges_in(_r(t), 0.5, 1.1).select("i", "j"))
+    return G.communities(G.pearson_matrix(t.traces_equal(), low=0.5).select("i", "j"))
 
 
 @query("with recursive m(step, l, r) as (values (0, 0, 1), (1, 2, 3), (2, 5, 4), (3, 6, 7)), k as (select step + 5 as node, l as kid from m union all select step + 5, r from m), w(node, kid) as (select node, kid from k union all select w.node, k.kid from w join k on k.node = w.kid) select node::bigint as node, kid::bigint as leaf from w where kid < 5")

@@ -301,7 +301,16 @@ def temporal_threshold(t: Tables) -> DataFrame:
     return K.temporal_mask(t.volume(), prominence=3.0)
 
 
-@query()
+@query(
+    """with d as (select c.zc, v.* from volume v, (select distinct z as zc from volume) c where v.z between c.zc - 1 and c.zc + 1), g as (select zc, min(v) as lo, max(v) as hi from d group by zc having count(distinct z) = 3 and count(distinct v) > 1),
+h as (select zc, b.b as bin, lo, hi from g, range(256) b(b)), n as (select d.zc, least(floor((v - lo) / (hi - lo) * 256), 255)::bigint as bin, count(*) as n from d join g using (zc) group by all),
+f as (select zc, bin, lo, hi, coalesce(n, 0) as n from h left join n using (zc, bin)), m as (select zc, max(n) as peak, arg_max(bin, (n, -bin)) as mode from f group by zc),
+w as (select *, case when mode > 255 - mode then 0 else 255 end as stop from m),
+l as (select f.zc, arg_max(lo + (bin + 0.5) * (hi - lo) / 256, (peak * (1 - abs(bin - mode) / abs(stop - mode)) - n, -abs(bin - mode))) as level from f join w using (zc) where bin between least(mode, stop) and greatest(mode, stop) group by f.zc),
+s as (select v.z as zc, level, avg(v) filter (where v > level) as up, avg(v) filter (where v <= level) as down from volume v join l on l.zc = v.z group by all)
+select z, x, y from volume v join s on s.zc = v.z where v.v > level and up > 1.1 * abs(down)""",
+    "volume",
+)
 def spatial_threshold(t: Tables) -> DataFrame:
     return K.spatial_mask(t.volume())
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators import events as E
+from eventloom.operators import kernels as K
 from eventloom.operators import volume as V
 from eventloom.plans.registry import query, r6, s6
-from eventloom.sources import synthetic
+from eventloom.sources import storage, synthetic
 from eventloom.sources.adapters import Tables
 
 
@@ -27,13 +28,15 @@ def simulated_volume(t: Tables) -> DataFrame:
     return synthetic.simulate_volume(t.spark)
 
 
-@query("select 'events' as source, 16::bigint as n union all select 'found', 16")
+@query()
 def simulated_detection(t: Tables) -> DataFrame:
-    """As many components are found as blobs were drawn."""
-    v = synthetic.simulate_volume(t.spark, (20, 40, 40), (10, 20, 20), 2.0).union(synthetic.simulate_volume(t.spark, (20, 40, 40), (10, 20, 20), 2.0).withColumn("z", F.col("z") + 20).withColumn("event_id", F.col("event_id") + 10**6))
-    labels = V.label_components(v.select("z", "x", "y"), 8)
+    """Blobs drawn with intensities into a noisy recording, smoothed, thresholded by frame, and counted: drawn and found."""
+    drawn = synthetic.simulate_volume(t.spark, (36, 80, 80), (12, 20, 20), 0.5, voxels=150)
+    noisy = storage.materialize(synthetic.recording_of(drawn, (36, 80, 80)), "recording")
+    mask = K.spatial_mask(V.smooth(noisy, 0.8, 1))
+    labels = V.label_components(V.remove_small(mask, 30), 20)
     n = lambda df, c, s: df.agg(F.countDistinct(c).alias("n")).select(F.lit(s).alias("source"), "n")
-    return n(v, "event_id", "events").union(n(labels, "label", "found"))
+    return n(drawn, "event_id", "events").union(n(labels, "label", "found"))
 
 
 @query("select case when i < 30 then 0 when i < 80 then 1 else 2 end as population, count(*) as n from range(100) x(i) group by all")

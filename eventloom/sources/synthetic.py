@@ -124,6 +124,26 @@ def simulate_volume(spark: SparkSession, shape: Sequence[int] = (50, 100, 100),
     return cells(spark, shape, size).mapInPandas(run, "event_id long, z long, x long, y long")
 
 
+def recording_of(drawn: DataFrame, shape: Sequence[int], background: float = 1.0, intensity: float = 2.0, noise: float = 0.1, seed: int = 0) -> DataFrame:
+    """(z, x, y, v): a whole recording of a background with the drawn voxels on it, each event as bright as its hash says (half to one and a
+    half times `intensity`), and noise that is nearly Gaussian: the sum of four hashes."""
+    z, x, y = shape
+    every = drawn.sparkSession.range(z * x * y).select(F.floor(F.col("id") / (x * y)).alias("z"), F.floor(F.col("id") / y % x).cast("long").alias("x"), (F.col("id") % y).alias("y"))
+    unit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 30)) / float(1 << 30)
+    bright = drawn.select("z", "x", "y", (intensity * (0.5 + unit("event_id", F.lit(seed)))).alias("b"))
+    noisy = sum((unit("z", "x", "y", F.lit(seed), F.lit(k)) - 0.5 for k in range(4)), F.lit(0.0)) * (noise * 3**0.5)
+    return every.join(bright, ["z", "x", "y"], "left").select("z", "x", "y", (background + F.coalesce("b", F.lit(0.0)) + noisy).alias("v"))
+
+
+def incidences(frames: int, distance: int, gap: int, seed: int = 0) -> list[int]:
+    """A walk of stimulus frames: each within `distance` frames of the earliest allowed, the next allowed `gap` frames later."""
+    rng, out, z = np.random.default_rng(seed), [], 0
+    while z < frames:
+        out.append(int(rng.integers(z, z + distance)))
+        z = out[-1] + gap
+    return out
+
+
 def experiment_grid(spark: SparkSession, parameters: Mapping[str, Sequence], replicates: int) -> DataFrame:
     """One row for each combination of parameters and each replicate."""
     names = list(parameters)
