@@ -140,11 +140,11 @@ class Events:
     def long(self) -> DataFrame:
         return E.to_long(self.df)
 
-    def distances(self, kind: str = "dtw", key: str = "event_key") -> DataFrame:
-        """(i, j, d): dtw, or euclidean or pearson (r) for traces of one length."""
+    def distances(self, kind: str = "dtw", key: str = "event_key", **options) -> DataFrame:
+        """(i, j, d): dtw (options as pair_distances has them), ragged_pearson (r), or euclidean or pearson (r) for traces of one length."""
         if kind == "dtw":
-            return K.pair_distances(self.df, key)
-        return {"euclidean": G.euclidean_matrix, "pearson": G.pearson_matrix}[kind](self.df, key)
+            return K.pair_distances(self.df, key, **options)
+        return {"euclidean": G.euclidean_matrix, "pearson": G.pearson_matrix, "ragged_pearson": G.ragged_pearson_matrix}[kind](self.df, key, **options)
 
     def kmeans(self, k: int) -> Events:
         return self.then(L.kmeans, k)

@@ -309,10 +309,11 @@ def worst_of(df: DataFrame, rows: str, columns: str, value: str, values: Sequenc
 
 
 def balance(df: DataFrame, label: str, key: str) -> DataFrame:
-    """As many rows of each class as the smallest has, the first by key."""
+    """As many rows of each class as the smallest has, the first by key (a number)."""
+    from eventloom.operators.signals import number_rows
+
     least = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_n"))
-    w = W.partitionBy(label).orderBy(key)
-    return df.withColumn("_r", F.row_number().over(w)).join(F.broadcast(least), how="cross").where(F.col("_r") <= F.col("_n")).drop("_r", "_n")
+    return number_rows(df, label, key, "_r").join(F.broadcast(least), how="cross").where(F.col("_r") < F.col("_n")).drop("_r", "_n")
 
 
 def sequential_split(df: DataFrame, key: str, shares: Sequence[float] = (0.8, 0.2), names: Sequence[str] = ("train", "test")) -> DataFrame:

@@ -84,8 +84,17 @@ def pearson_histogram(df: DataFrame, low: float, high: float, bins: int, key: st
 
 
 def ragged_pearson_matrix(df: DataFrame, key: str = "id", trace: str = "trace", compat: bool = False) -> DataFrame:
-    """(i, j, r) for all i < j of traces of any lengths: the largest correlation over the shifts of the shorter within the longer."""
-    return all_pairs(df, key, trace, _tiles(df)).select("i", "j", A.ragged_pearson("x", "y", compat).alias("r"))
+    """(i, j, r) for all i < j of traces of any lengths: the largest correlation over the shifts of the shorter within the longer, over the
+    shorter's length and both deviations (compat: over the greater of the longer's length and that); NULL where one is constant or empty."""
+    from eventloom.operators.kernels import pair_distances
+
+    def best(a: np.ndarray, b: np.ndarray) -> float:
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        spread = len(short) * short.std() * long.std() if len(short) else 0.0
+        spread = max(float(len(long)), spread) if compat else spread
+        return float(np.correlate(long - long.mean(), short - short.mean(), "valid").max() / spread) if spread > 0 else np.nan
+
+    return pair_distances(df, key, trace, _tiles(df), best).withColumnRenamed("d", "r")
 
 
 def map_edges(edges: DataFrame, nodes: DataFrame, index: str = "i_idx", name: str = "trace_idx") -> DataFrame:

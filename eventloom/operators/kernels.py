@@ -170,19 +170,30 @@ def dtw(a: np.ndarray, b: np.ndarray, window: int | None = None, slope: float |
     return float(np.sqrt(acc[n, m]) if local is None else acc[n, m])
 
 
-def dtw_many(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+def dtw_many(a: np.ndarray, others: list[np.ndarray], window: int | None = None, slope: float | None = None, local: Callable | None = None) -> np.ndarray:
     """dtw of one trace with many at once: all their tables are filled together, and each is read at its own length."""
     n, m = len(a), max(map(len, others))
+    size = np.array([len(o) for o in others])
     grid = np.zeros((len(others), m))
     for k, o in enumerate(others):
         grid[k, : len(o)] = o
+    local_ = local or (lambda x, y: (x - y) ** 2)
     acc = np.full((n + 1, m + 1, len(others)), np.inf)
     acc[0, 0] = 0
     for d in range(2, n + m + 1):
         r = np.arange(max(1, d - m), min(n, d - 1) + 1)
         c = d - r
-        acc[r, c] = (a[r - 1, None] - grid[:, c - 1].T) ** 2 + np.minimum(np.minimum(acc[r - 1, c], acc[r, c - 1]), acc[r - 1, c - 1])
-    return np.sqrt(acc[n, [len(o) for o in others], np.arange(len(others))])
+        cost = local_(a[r - 1, None], grid[:, c - 1].T)
+        i, j = r[:, None] - 1, c[:, None] - 1
+        if window is not None:
+            cost = np.where(np.abs(i * size / n - j) <= np.maximum(window, np.abs(n - size)), cost, np.inf)
+        if slope is not None and n > 1:
+            u, v = i / (n - 1), j / np.maximum(size - 1, 1)
+            ok = (v <= slope * u + 1e-12) & (v >= u / slope - 1e-12) & (1 - v <= slope * (1 - u) + 1e-12) & (1 - v >= (1 - u) / slope - 1e-12)
+            cost = np.where(ok | (size < 2), cost, np.inf)
+        acc[r, c] = cost + np.minimum(np.minimum(acc[r - 1, c], acc[r, c - 1]), acc[r - 1, c - 1])
+    out = acc[n, size, np.arange(len(others))]
+    return out if local is not None else np.sqrt(out)
 
 
 #: Local dissimilarities by name, of broadcast values.
@@ -209,9 +220,7 @@ def pair_distances(df: DataFrame, key: str = "id", value: str = "trace", tiles:
 
     window: a Sakoe-Chiba band; slope: an Itakura parallelogram; local: a name in LOCAL; sigma: exp(-d^2 / sigma^2) in place of d.
     """
-    if measure is None and (window is not None or slope is not None or local is not None):
-        own = LOCAL[local] if local else None
-        measure = lambda a, b: dtw(a, b, window, slope, own)
+    own = LOCAL[local] if local else None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["ti"].iloc[0] == pdf["tj"].iloc[0]
@@ -228,7 +237,7 @@ def pair_distances(df: DataFrame, key: str = "id", value: str = "trace", tiles:
                 full = [b for b in with_ if len(vec[b]) and len(vec[a])]
                 d = np.full(len(keys), np.nan)
                 for s in range(0, len(full), 256):
-                    d[full[s : s + 256]] = dtw_many(vec[a], [vec[b] for b in full[s : s + 256]])
+                    d[full[s : s + 256]] = dtw_many(vec[a], [vec[b] for b in full[s : s + 256]], window, slope, own)
                 d = d[with_]
             d = d if sigma is None else np.exp(-(d**2) / sigma**2)
             out.append(pd.DataFrame({"i": np.minimum(keys[a], keys[with_]), "j": np.maximum(keys[a], keys[with_]), "d": d}))

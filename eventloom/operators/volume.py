@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.functions import arrays as A
+from eventloom.operators.signals import exact_median
 from eventloom.sources.storage import materialize
 
 
@@ -33,7 +34,9 @@ def noise_level(voxels: DataFrame) -> DataFrame:
     """One row: median over pixels of sqrt(median over frames of squared differences / 0.9133)."""
     w = W.partitionBy("x", "y").orderBy("z")
     d = voxels.withColumn("d", F.col("v") - F.lag("v").over(w)).where("d is not null")
-    return d.groupBy("x", "y").agg(F.sqrt(F.median(F.col("d") * F.col("d")) / 0.9133).alias("s")).agg(F.median("s").alias("noise"))
+    # 0.9133 is a fixed value of the definition
+    pixels = materialize(d.groupBy("x", "y").agg(F.sqrt(F.median(F.col("d") * F.col("d")) / 0.9133).alias("s")))
+    return exact_median(pixels, "s").select(F.col("s").alias("noise"))
 
 
 def subtract_background(voxels: DataFrame, background: DataFrame | None = None, how: Callable = F.avg) -> DataFrame:
@@ -96,27 +99,32 @@ def combine_masks(a: DataFrame, b: DataFrame, how: str = "and") -> DataFrame:
 
 
 def _tile_label(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Union-find over one tile's voxels; the label is the smallest voxel code of the tile's component."""
-    code = pdf["code"].to_numpy(np.int64)
+    """The components of one tile's voxels; the label is the smallest voxel code of the tile's component. All voxels at once: roots that
+    touch are hooked to the smaller, and paths are halved until they are flat."""
+    pdf = pdf.sort_values("code", ignore_index=True)
     xyz = pdf[["z", "x", "y"]].to_numpy(np.int64)
-    at = {tuple(p): i for i, p in enumerate(xyz.tolist())}
-    parent = list(range(len(code)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i, (z, x, y) in enumerate(xyz.tolist()):
-        for n in ((z + 1, x, y), (z, x + 1, y), (z, x, y + 1)):
-            j = at.get(n)
-            if j is not None:
-                a, b = root(i), root(j)
-                if a != b:
-                    a, b = (a, b) if code[a] < code[b] else (b, a)
-                    parent[b] = a
-    return pd.DataFrame({"z": xyz[:, 0], "x": xyz[:, 1], "y": xyz[:, 2], "label": [code[root(i)] for i in range(len(code))]})
+    low = xyz.min(0)
+    shape = xyz.max(0) - low + 2
+    steps = np.array([shape[1] * shape[2], shape[2], 1])
+    place = (xyz - low) @ steps
+    grid = np.full(int(shape.prod()), -1)
+    grid[place] = np.arange(len(place))
+    one, two = [], []
+    for step in steps:
+        near = grid[place + step]
+        one.append(np.flatnonzero(near >= 0))
+        two.append(near[near >= 0])
+    a, b = np.concatenate(one), np.concatenate(two)
+    root = np.arange(len(place))
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    return pd.DataFrame({"z": xyz[:, 0], "x": xyz[:, 1], "y": xyz[:, 2], "label": pdf["code"].to_numpy(np.int64)[root]})
 
 
 def propagate(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -22,27 +22,27 @@ def _w(a: int, b: int) -> str:
 
 @query(f"select channel, i, case when count(*) {_w(-19, 0)} = 20 then {s6(f'v - min(v) {_w(-19, 0)}')} end as detrended from signal", "signal")
 def detrend_rolling_min(t: Tables) -> DataFrame:
-    return S.detrend(t.signal(), 20).select("channel", "i", r6("detrended").alias("detrended"))
+    return S.detrend(t.signal(), 20, numbered=True).select("channel", "i", r6("detrended").alias("detrended"))
 
 
 @query(f"select channel, i, greatest(min(v) {_w(-9, 0)}, min(v) {_w(0, 9)}) as baseline from signal", "signal")
 def baseline_two_sided_min(t: Tables) -> DataFrame:
-    return S.two_sided_minimum(t.signal(), 10).select("channel", "i", "baseline")
+    return S.two_sided_minimum(t.signal(), 10, numbered=True).select("channel", "i", "baseline")
 
 
 @query("select channel, i, min(v) over (partition by channel, i % 2 order by i rows between 5 preceding and 5 following) as baseline from signal", "signal")
 def baseline_even_odd(t: Tables) -> DataFrame:
-    return S.even_odd_minimum(t.signal(), 10).select("channel", "i", "baseline")
+    return S.even_odd_minimum(t.signal(), 10, numbered=True).select("channel", "i", "baseline")
 
 
 @query(f"select channel, i, {s6(f'v / median(v) {_w(-5, 5)}')} as normed from signal", "signal")
 def rolling_median_norm(t: Tables) -> DataFrame:
-    return S.median_normalised(t.signal(), 11).select("channel", "i", r6("normed").alias("normed"))
+    return S.median_normalised(t.signal(), 11, numbered=True).select("channel", "i", r6("normed").alias("normed"))
 
 
 @query(f"select channel, i, coalesce(v > median(v) {_w(-5, 5)} + stddev_samp(v) {_w(-5, 5)}, false) as sigh from signal", "signal")
 def sigh_flag(t: Tables) -> DataFrame:
-    return S.sighs(t.signal(), 11).select("channel", "i", "sigh")
+    return S.sighs(t.signal(), 11, numbered=True).select("channel", "i", "sigh")
 
 
 @query(f"with p as (select channel, i * 0.5 as t from signal where v > 50) select channel, t::double as t, {s6('t - lag(t) over w')} as pre, {s6('lead(t) over w - t')} as post, {s6('1.0 / (t - lag(t) over w)')} as frequency from p window w as (partition by channel order by t)", "signal")
@@ -54,12 +54,13 @@ def interpeak_periods(t: Tables) -> DataFrame:
 @query(f"select channel, i, {s6(f'avg(v) {_w(-2, 2)}')} as smooth, case when count(*) {_w(-2, 1)} = 4 then {s6(f'avg(v) {_w(-2, 1)}')} end as even from signal", "signal")
 def rolling_means(t: Tables) -> DataFrame:
     v = F.col("v")
-    return t.signal().select("channel", "i", r6(S.rolling(v, F.avg, "channel", "i", 5, partial=True)).alias("smooth"), r6(S.rolling(v, F.avg, "channel", "i", 4)).alias("even"))
+    step = lambda d, p: d.withColumn("smooth", S.rolling(v, F.avg, p, "i", 5, partial=True)).withColumn("even", S.rolling(v, F.avg, p, "i", 4))
+    return S.by_pieces(t.signal(), "channel", "i", 5, 5, step, numbered=True).select("channel", "i", r6("smooth").alias("smooth"), r6("even").alias("even"))
 
 
 @query(f"with l as (select channel, i, v, lag(v) over w as p, lead(v) over w as n from signal window w as (partition by channel order by i)) select channel, i, {s6('case when p is null then n - v when n is null then v - p else (n - p) / 2 end')} as gradient, {s6('coalesce(v - p, 0)')} as diff from l", "signal")
 def signal_gradient(t: Tables) -> DataFrame:
-    return t.signal().select("channel", "i", r6(S.gradient("v", "channel", "i")).alias("gradient"), r6(S.first_difference("v", "channel", "i")).alias("diff"))
+    return S.slopes(t.signal(), numbered=True).select("channel", "i", r6("gradient").alias("gradient"), r6("diff").alias("diff"))
 
 
 @query("select z % 3 as channel, z // 3 as z, x, y, v from volume", "volume")

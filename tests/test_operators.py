@@ -10,12 +10,13 @@ from eventloom.functions import arrays as A
 from eventloom.functions import features as feat
 from eventloom.functions import normalize as N
 from eventloom.operators import events as E
+from eventloom.operators import experiments as X
 from eventloom.operators import graph as G
 from eventloom.operators import kernels as K
 from eventloom.operators import learn as L
 from eventloom.operators import signals as S
 from eventloom.operators import volume as V
-from eventloom.sources import storage
+from eventloom.sources import images, storage, synthetic
 from eventloom.streaming.windows import windowed
 
 
@@ -278,3 +279,120 @@ def test_bootstrap_uses_all_rows(spark):
     r = E.bootstrap_means(df, "value", "cluster").first()
     width = 2 * 1.96 * np.sqrt((100**2 - 1) / 12 / 20_000)
     assert r["low"] < 49.5 < r["high"] and 0.75 * width < r["high"] - r["low"] < 1.3 * width
+
+
+def test_triangle_level_brute_force():
+    rng = np.random.default_rng(3)
+    for v in (np.r_[rng.normal(0, 1, 5000), rng.normal(20, 0.1, 200)], rng.exponential(1, 5000), -rng.exponential(1, 5000), np.r_[rng.normal(0, 1, 4000), rng.normal(60, 3, 900)]):
+        hist, edges = np.histogram(v, 256)
+        mode = int(np.argmax(hist))
+        low, high = np.flatnonzero(hist)[[0, -1]]
+        end = low if mode - low > high - mode else high
+        best, level = -1.0, None
+        for k in sorted(range(min(mode, end), max(mode, end) + 1), key=lambda k: abs(k - mode)):
+            gap = hist[mode] * (1 - abs(k - mode) / abs(end - mode)) - hist[k]
+            if gap > best:
+                best, level = gap, (edges[k] + edges[k + 1]) / 2
+        assert np.isclose(K.triangle_level(v), level)
+
+
+def test_simulated_detection(spark):
+    from eventloom import plans
+
+    got = {r["source"]: r["n"] for r in plans.QUERIES["simulated_detection"](spark, "/root/testdata/sf0.001").collect()}
+    assert got["events"] > 10 and abs(got["found"] - got["events"]) <= 0.15 * got["events"]
+
+
+def test_dtw_many_options():
+    rng = np.random.default_rng(1)
+    a, others = rng.normal(size=9), [rng.normal(size=n) for n in (9, 4, 13, 1)]
+    for options in ({}, {"window": 2}, {"slope": 2.0}, {"local": K.LOCAL["canberra"]}, {"window": 1, "local": K.LOCAL["cityblock"]}):
+        assert np.allclose(K.dtw_many(a, others, **options), [K.dtw(a, o, **options) for o in others])
+
+
+def test_ragged_pearson_matrix(spark):
+    rng = np.random.default_rng(2)
+    traces = [rng.normal(size=n).tolist() for n in (5, 9, 3, 9)] + [[1.0, 1.0]]
+    df = spark.createDataFrame(list(enumerate(traces)), "id long, trace array<double>")
+    got = {(r["i"], r["j"]): r["r"] for r in G.ragged_pearson_matrix(df).collect()}
+    assert len(got) == 10 and got[(0, 4)] is None
+    for (i, j), r in got.items():
+        s, g = sorted((np.array(traces[i]), np.array(traces[j])), key=len)
+        if s.std() and g.std():
+            s, g = s - s.mean(), g - g.mean()
+            want = max(float(s @ g[k : k + len(s)]) for k in range(len(g) - len(s) + 1)) / (len(s) * s.std() * g.std())
+            assert np.isclose(r, want)
+
+
+def test_flat_cluster_criteria():
+    merges = np.array([[0, 1, 0.1, 2], [2, 3, 0.15, 2], [5, 6, 1.0, 4], [4, 7, 1.1, 5]])
+    assert K.flat_clusters(merges, 5, 0.5).tolist() == [1, 1, 2, 2, 3]
+    assert K.flat_clusters(merges, 5, 2, "maxclust").tolist() == [1, 1, 1, 1, 2]
+    assert K.flat_clusters(merges, 5, 5, "monocrit", np.array([9.0, 1, 1, 1])).tolist() == [1, 2, 3, 3, 4]
+    assert K.flat_clusters(merges, 5, 3, "maxclust_monocrit", np.array([1.0, 2, 3, 4])).tolist() == [1, 1, 2, 2, 3]
+    assert np.allclose(K.inconsistency(merges, 5)[:2], 0) and K.flat_clusters(merges, 5, 0.8, "inconsistent").tolist() == [1, 1, 2, 2, 3]
+
+
+def test_pieces_do_not_matter(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(c, int(i) * 3, float(v)) for c in (0, 1) for i, v in enumerate(rng.integers(0, 9, 60))], "channel long, i long, v double")
+    steps = [lambda d: S.detrend(d, 7, smooth=3), lambda d: S.two_sided_minimum(d, 5), lambda d: S.median_normalised(d, 5), lambda d: S.sighs(d, 5), lambda d: S.slopes(d), lambda d: S.periods(d.withColumn("t", F.col("i") * 1.0))]
+    whole = [sorted(map(str, f(df).collect())) for f in steps]
+    monkeypatch.setattr(S, "PIECE_ROWS", 8)
+    assert [sorted(map(str, f(df).collect())) for f in steps] == whole
+    assert S.exact_median(df, "v").first()[0] == np.median([r["v"] for r in df.collect()])
+
+
+def test_components_brute_force(spark):
+    rng = np.random.default_rng(5)
+    on = {tuple(p) for p in np.argwhere(rng.random((9, 10, 11)) < 0.35).tolist()}
+    got = {(r["z"], r["x"], r["y"]): r["label"] for r in V.label_components(spark.createDataFrame(sorted(on), "z long, x long, y long"), 4).collect()}
+    seen = {}
+    for p in sorted(on):
+        todo = [] if p in seen else [p]
+        while todo:
+            q = todo.pop()
+            if q in on and q not in seen:
+                seen[q] = p
+                todo += [tuple(q[k] + d * (k == a) for k in range(3)) for a in range(3) for d in (-1, 1)]
+    assert got == {q: (p[0] << 40) + (p[1] << 20) + p[2] for q, p in seen.items()}
+
+
+def test_images(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    a = rng.random((5, 4, 3)).astype("<f4").astype(float)
+    v = images.from_array(spark, a)
+    assert np.allclose(images.to_array(v, (0, 5), (4, 3)), a) and np.allclose(images.to_array(images.from_array(spark, a, (2, 4)), (2, 4), (4, 3)), a[2:4])
+    files = images.save_tiff(v, f"{tmp_path}/rec", (4, 3), 5, file_frames=2)
+    assert len(files) == 3 and np.allclose(images.to_array(images.load_tiff(spark, f"{tmp_path}/rec_*.tif"), (0, 5), (4, 3)), a)
+    with pytest.raises(FileExistsError):
+        images.save_tiff(v, f"{tmp_path}/rec", (4, 3), 5, file_frames=2)
+    big = images.to_array(images.resize(v, (4, 3), (2, 1.0)), (0, 5), (2, 3))
+    assert np.allclose(big, a.reshape(5, 2, 2, 3).mean(2))
+    labels = v.withColumn("v", (F.col("x") == 1).cast("double"))
+    images.save_tiff(labels, f"{tmp_path}/map", (4, 3), 5)
+    assert images.load_event_map(spark, [f"{tmp_path}/no.parquet", f"{tmp_path}/map_0.tif"]).count() == 15
+    with pytest.warns(UserWarning):
+        assert images.load_event_map(spark, [f"{tmp_path}/no.parquet"]) is None
+    (tmp_path / "a.tif").write_bytes(images.write_tiff([a[0]]))
+    assert images.companion(spark, f"{tmp_path}/a.events.parquet") == f"{tmp_path}/a.tif" and images.companion(spark, f"{tmp_path}/b.parquet") is None
+    images.save_run(spark, f"{tmp_path}/meta.json", {"b": 1, "a": [1, 2]})
+    assert images.load_run(spark, f"{tmp_path}/meta.json") == {"a": [1, 2], "b": 1}
+    images.save_model(spark, {"k": 3}, f"{tmp_path}/m.pickle")
+    assert images.load_model(spark, f"{tmp_path}/m.pickle") == {"k": 3}
+    assert images.content_hash(v) == images.content_hash(v.repartition(3)) != images.content_hash(v.limit(3)) and images.content_hash([1, {"a": a}]) == images.content_hash([1, {"a": a.copy()}])
+    calls = []
+    made = [images.cached(spark, str(tmp_path), lambda n: calls.append(n) or spark.range(n), 4).count() for _ in range(2)]
+    assert made == [4, 4] and calls == [4] and images.prime_factors(360) == [2, 2, 2, 3, 3, 5]
+
+
+def test_experiment_parts(spark):
+    stop = X.EarlyStopping(2, 0.1)
+    assert [stop(x) for x in (1.0, 0.8, 0.75, 0.74)] == [False, False, False, True]
+    walk = synthetic.incidences(1000, 20, 50, 1)
+    assert walk == synthetic.incidences(1000, 20, 50, 1) and all(50 <= b - a < 70 for a, b in zip(walk, walk[1:], strict=False))
+    x = np.zeros(100)
+    x[20:40] = x[60:80] = 5.0
+    df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "channel long, i long, v double")
+    assert [r["i"] % 5 for r in X.camera_frames(df, 5, 1.0).collect()] == [0, 0]
+    assert len(K.find_peaks(x)) == 2 and len(K.find_peaks(x, plateau_size=21)) == 0
