@@ -117,7 +117,7 @@ class ChunkEncoder:
 
 
 _encoders: dict[str, ChunkEncoder] = {}
-_IDLE_SECONDS = 3.0
+_IDLE_SECONDS = 8.0
 _uses = 0
 
 

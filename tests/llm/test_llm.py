@@ -627,3 +627,44 @@ def test_pipeline(spark, documents):
         assert out.columns == documents.columns and 0 < out.count() <= docs.count()
         docs = out
     assert p.run(spark, DIR).count() > 0
+
+
+def test_pipeline_odd_rows(spark, documents, none):
+    """Each stage on nulls, empty and long texts, repeated rows and clashing names: the rows that stay, as brute force has them."""
+    import corpus_pipeline as p
+
+    line = "one two three four five six seven eight"
+    rows_ = [*ODD, (20, f"{line}\nquite another line of words here", "en", "a", 0), (21, f"{line} nine\n{line}", "en", "a", 0), (22, "quite another line of words here", "en", "a", 0)]
+    clash = ("removed", "doc_order", "text_key", "n_lines", "n_removed", "left", "row", "line", "size", "node", "fp", "g", "k")
+    docs = spark.createDataFrame(rows_, COLUMNS).withColumns({c: F.lit(77) for c in clash}).repartition(4)
+    kept = p.quality(spark, docs, DIR)
+    assert kept.columns == docs.columns and kept.count() <= docs.count()
+    out = p.lines(spark, docs, DIR)
+    assert out.columns == docs.columns and out.where(" and ".join(f"`{c}` = 77" for c in clash)).count() == len(rows_)
+    last = (1 << 63) - 1
+    order = {(last if r[0] is None else r[0], r[1]): r[1] for r in rows_}
+    gone = brute_lines([((k[0], k[1] or ""), t) for k, t in order.items()])
+    for r in out.collect():
+        key = last if r["doc_id"] is None else r["doc_id"]
+        texts = {t for (d, t) in order if d == key}
+        (text,) = texts
+        want = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if ((key, text), i) not in gone)
+        assert r["text"] == want and r["n_chars"] == (None if want is None else len(want))
+    one = p.near_duplicates(spark, docs, DIR)
+    assert one.columns == docs.columns and one.where(" and ".join(f"`{c}` = 77" for c in clash)).count() == one.count()
+    ids = [r["doc_id"] for r in one.collect()]
+    assert len(ids) == len(set(ids)) and 1 in ids and 2 not in ids and 3 not in ids and 4 in ids and 5 not in ids
+    assert p.packing(spark, docs, DIR).where("length > 0").count() >= len(rows_)
+    for _, stage in p.STAGES:
+        assert stage(spark, none, DIR).count() == 0
+
+
+def test_quality_scores_brute_force(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random((300, len(quality.FEATURES)))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 0.1, 300) > 0.8).astype(float)
+    m = quality.PairGam().fit(x, y)
+    for row, got in zip(x[:40], m.score(x[:40]), strict=True):
+        z = m.intercept + sum(t[sum(c < v for c in cuts)] for t, cuts, v in zip(m.tables, m.cuts, row, strict=True))
+        z += sum(t[sum(c < row[f] for c in m.pair_cuts[f]), sum(c < row[e] for c in m.pair_cuts[e])] for t, (f, e) in zip(m.pair_tables, m.chosen, strict=True))
+        assert np.isclose(got, 1 / (1 + np.exp(-z)))
