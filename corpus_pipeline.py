@@ -1,6 +1,8 @@
 """Corpus pipeline: quality classifier, line dedup, near-duplicate removal, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return the columns of documents. Null texts
+count as empty and rows without doc_id come last in any order; extra columns of any name pass through unread; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -15,17 +17,17 @@ from eventloom.llm.simhash import keep_one_of_each_group
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; empty texts are scored like any other, and repeated rows alike."""
     return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go; n_chars follows the text."""
+    """Lines that repeat an earlier line go; n_chars follows the text. A null text stays null; ties go by doc_id, text and line."""
     return without_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one with the smallest doc_id; of equal rows one, of texts without words one."""
     return keep_one_of_each_group(docs)
 
 
