@@ -378,9 +378,33 @@ def test_license_places_brute_force(odd, none):
 
 def test_license_templates_threshold(spark):
     t = {"a b c d e": "five", "x y": "two"}
-    docs = spark.createDataFrame([(0, "a b c d q"), (1, "a b c q\nd e"), (2, "y z x"), (3, "x"), (4, "e d c b a a a")], "doc_id long, text string")
+    docs = spark.createDataFrame([(0, "a b c d q"), (1, "a b c q\nd e"), (2, "y x"), (3, "x"), (4, "e d c b a a a"), (5, "a b c 1 2 3 4 d e"), (6, "y z z x")], "doc_id long, text string")
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(docs, licenses.PHRASES, t, 0.8).collect()}
-    assert got == {0: ("five", 0.8), 1: ("", 0.0), 2: ("two", 1.0), 3: ("", 0.0), 4: ("five", 1.0)}
+    assert got == {0: ("five", 0.8), 1: ("five", 1.0), 2: ("two", 1.0), 3: ("", 0.0), 4: ("five", 1.0), 5: ("", 0.0), 6: ("", 0.0)}
+
+
+def test_license_notices_over_lines(spark, odd):
+    docs = spark.createDataFrame([(0, "x\n  Redistribution and use in source and binary forms, with or without\n# modification, are permitted"), (1, "You may not use this file\nexcept in compliance with\nthe License.")], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs).collect()} == {0: "bsd-notice", 1: "apache-terms"}
+    for phrases, templates in (({}, {}), (licenses.PHRASES, {}), ({}, {"...": "none"})):
+        got = licenses.scan_licenses(odd, phrases, templates).collect()
+        assert len(got) == len(ODD) and all(r["labels"] == r["base_labels"] for r in got)
+
+
+def test_license_blocks_brute_force(spark):
+    rng = np.random.default_rng(3)
+    t = {"a b c d e a": "six", "b x y": "three", "c e f g h i j k": "eight"}
+    texts = [" ".join(rng.choice(list("abcdefghijkxyz"), rng.integers(0, 60))) for _ in range(60)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {}, t, 0.7).collect()}
+    for i, text in enumerate(texts):
+        ws, best = text.split(), {}
+        for name, label in t.items():
+            said = name.split()
+            size, n = -(-len(said) * 10 // 7), len(set(said))
+            most = max((len(set(ws[o : o + size]) & set(said)) for o in range(len(ws))), default=0)
+            if most >= 0.7 * n - 1e-9:
+                best[label] = most / n
+        assert got[i]["labels"] == ",".join(sorted(best)) and got[i]["score"] == pytest.approx(max(best.values(), default=0))
 
 
 # --- 8
