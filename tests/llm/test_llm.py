@@ -366,6 +366,13 @@ def test_quality_reads_no_held_out_label(spark, odd, none):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
+def test_quality_chooses_the_smallest_hashes(spark):
+    labels = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    every = rows(labels.where(~quality.held_out()).select(F.xxhash64("doc_id").alias("h"), "doc_id"), "h")
+    for most in (10, 700, 8000):
+        assert sorted(r["doc_id"] for r in quality.chosen_labels(labels, most).collect()) == sorted(d for _, d in every[:most])
+
+
 # --- 7
 
 
