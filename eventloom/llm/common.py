@@ -89,8 +89,9 @@ def ascii_lower(text: Column) -> Column:
 def connected_components(edges: DataFrame, max_rounds: int = 60, files: int | None = None) -> DataFrame:
     """(node, root) for every node in edges (u, v); root is the component's smallest node.
 
-    Alternating large-star and small-star rounds over DataFrames: minima are aggregated on the map side, so a hub with
-    very many links never sits in one task, and each round's links are written to the shared folder. Nothing but a count
+    Alternating large-star and small-star rounds over DataFrames: minima are aggregated on the map side, and each
+    round's links are written to the shared folder. The join of a hub's links with its minimum meets in one task, row by row, unless
+    adaptive execution splits it. Nothing but a count
     and a checksum reaches the driver. Self links and repeated links are allowed; an empty input gives an empty result.
     """
     links = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links", files)
