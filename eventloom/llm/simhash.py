@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import connected_components, discard, materialize, read, scan_files
+from eventloom.llm.common import connected_components, discard, materialize, read, scan_files, shuffled
 
 _CHUNK = 1 << 15
 
@@ -197,17 +197,17 @@ def nearest_prints(prints: DataFrame, most_differing: int = 18, segments: int =
     balls = F.explode(F.array(*(F.lit(m).cast("long") for m in _balls(bits, 1))))
     probes = prints.select(F.col("fp").alias("a"), keys.alias("s")).select("a", "s", balls.alias("m")).select("a", F.col("s").bitwiseXOR(F.col("m")).alias("key"))
     gap = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    met = probes.join(table, "key").where((F.col("a") != F.col("b")) & (gap <= most_differing))
+    met = probes.join(shuffled(table), "key").where((F.col("a") != F.col("b")) & (gap <= most_differing))
     best = met.groupBy("a").agg(F.min(F.struct(gap.alias("gap"), "b"))["b"].alias("near"), F.min("b").alias("least"))
     return best.select("a", F.explode(F.array_distinct(F.array("near", "least"))).alias("b"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, slim: DataFrame, words: int, similarity: float, files: int) -> DataFrame:
     """The pairs (u, v) of nodes whose whole texts are similar."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "doc_order", "text_key")
-    texts = materialize(wanted.join(slim, ["doc_order", "text_key"]).select("node", "text").dropDuplicates(["node"]), "near-texts", files)
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(shuffled(nodes), "node").select("node", "doc_order", "text_key")
+    texts = materialize(wanted.join(shuffled(slim), ["doc_order", "text_key"]).select("node", "text").dropDuplicates(["node"]), "near-texts", files)
     one, two = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("u", "t"), ("v", "s")))
-    links = materialize(pairs.join(one, "u").join(two, "v").select("u", "v", "t", "s").mapInArrow(_agree(words, similarity), "u string, v string"), "near-links", files)
+    links = materialize(pairs.join(shuffled(one), "u").join(shuffled(two), "v").select("u", "v", "t", "s").mapInArrow(_agree(words, similarity), "u string, v string"), "near-links", files)
     discard(texts)
     return links
 
@@ -223,13 +223,13 @@ def shingle_pairs(sets: DataFrame, similarity: float, files: int | None = None,
         keys = sets.select("node", "g", "size", "prefix", F.posexplode("prefix").alias("place", "h")).where(F.pmod("h", F.lit(rounds)) == turn)
         keys = keys.select("h", "node", "g", "size", "place", F.get("prefix", F.col("place") - 1).alias("before"))
         shared = keys.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("h")
-        met = materialize(keys.join(shared, "h", "left_semi"), "shingles", files)
+        met = materialize(keys.join(shuffled(shared), "h", "left_semi"), "shingles", files)
         one, two = (met.select("h", *(F.col(c).alias(c + s) for c in ("node", "g", "size", "place", "before"))) for s in "12")
         need = F.lit(similarity / (1 + similarity)) * (F.col("size1") + F.col("size2")) - 1e-6
         most = F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2"))
         first = F.coalesce(F.col("before1") != F.col("before2"), F.lit(True))
         may = (F.col("g1") != F.col("g2")) & (F.col("node1") < F.col("node2")) & first & ((most >= need) | (F.col("size1") + F.col("size2") == 0))
-        pairs = one.join(two, "h").where(may).select(F.col("node1").alias("u"), F.col("node2").alias("v")).distinct()
+        pairs = one.join(shuffled(two), "h").where(may).select(F.col("node1").alias("u"), F.col("node2").alias("v")).distinct()
         pairs = materialize(pairs, "shingle-pairs", files)
         discard(met)
         found = pairs if found is None else found.unionByName(pairs)
@@ -259,20 +259,20 @@ def keep_one_of_each_group(docs: DataFrame, words: int = 5, similarity: float =
     nodes = materialize(prints.groupBy("text_key", "fp").agg(F.min("doc_order").alias("doc_order")).withColumn("node", node), "nodes", files)
     reps = nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n"))
     side = lambda s: reps.select(F.col("fp").alias(s), F.col("rep").alias(s + s))
-    apart = nearest_prints(reps.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.col("aa").alias("u"), F.col("bb").alias("v"))
-    same = nodes.join(reps.where("n > 1"), "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    apart = nearest_prints(reps.select("fp")).join(shuffled(side("a")), "a").join(shuffled(side("b")), "b").select(F.col("aa").alias("u"), F.col("bb").alias("v"))
+    same = nodes.join(shuffled(reps.where("n > 1")), "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
     pairs = materialize(apart.unionByName(same), "near-pairs", files)
     links = _verified(pairs, nodes, slim, words, similarity, files)
     near = connected_components(links, files=files)
-    sets = prints.dropDuplicates(["text_key", "fp"]).select(node, "size", "prefix").join(near, "node", "left")
+    sets = prints.dropDuplicates(["text_key", "fp"]).select(node, "size", "prefix").join(shuffled(near), "node", "left")
     more = materialize(shingle_pairs(sets.select(F.xxhash64("node").alias("node"), F.xxhash64(F.coalesce("root", "node")).alias("g"), "size", "prefix"), similarity, files), "near-pairs", files)
     discard(prints)
     ids = nodes.select("node", F.xxhash64("node").alias("id"))
-    named = more.join(ids.select(F.col("id").alias("u"), F.col("node").alias("a")), "u").join(ids.select(F.col("id").alias("v"), F.col("node").alias("b")), "v")
+    named = more.join(shuffled(ids.select(F.col("id").alias("u"), F.col("node").alias("a"))), "u").join(shuffled(ids.select(F.col("id").alias("v"), F.col("node").alias("b"))), "v")
     roots = near
     if not more.isEmpty():
         more = _verified(materialize(named.select(F.col("a").alias("u"), F.col("b").alias("v")), "near-pairs", files), nodes, slim, words, similarity, files)
         roots = near if more.isEmpty() else connected_components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), files=files)
-    grouped = nodes.join(roots, "node", "left").withColumn("g", F.coalesce("root", "node"))
+    grouped = nodes.join(shuffled(roots), "node", "left").withColumn("g", F.coalesce("root", "node"))
     kept = grouped.groupBy("g").agg(F.min(F.struct("doc_order", "text_key")).alias("k")).select("k.*")
-    return keyed.join(kept, ["doc_order", "text_key"]).dropDuplicates(["doc_order", "text_key"]).select("row.*")
+    return keyed.join(shuffled(kept), ["doc_order", "text_key"]).dropDuplicates(["doc_order", "text_key"]).select("row.*")

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from eventloom.llm import covertree, licenses, linededup, merkle, packing, pseudolm, quality, queries, simhash, tokencounts, unigram
+from eventloom.llm import common, covertree, licenses, linededup, merkle, packing, pseudolm, quality, queries, simhash, tokencounts, unigram
 from eventloom.llm.common import connected_components
 
 DIR = "/root/testdata/sf0.001"
@@ -511,6 +511,24 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def plans_run(spark, work):
+    """The plans, as they ran in the end, of all that work() has run."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(60_000)
+    runs = lambda: {(x := store.executionsList().apply(i)).executionId(): x.physicalPlanDescription() for i in range(store.executionsList().size())}
+    before = set(runs())
+    work()
+    bus.waitUntilEmpty(60_000)
+    return [plan for k, plan in runs().items() if k not in before]
+
+
+def test_keep_one_broadcasts_nothing(spark, monkeypatch):
+    monkeypatch.setattr(common, "_FEW", 0, raising=False)
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine ten {i % 7} {'x ' * (i % 3)}") for i in range(60)], "doc_id long, text string")
+    kept = plans_run(spark, lambda: simhash.keep_one_of_each_group(docs).collect())
+    assert any("SortMergeJoin" in p for p in kept) and not any("BroadcastHashJoin" in p for p in kept)
+
+
 def test_keep_one_of_each_group(spark, odd, none):
     rng = np.random.default_rng(9)
     base = [" ".join(f"{w}" for w in rng.integers(0, 5000, 120)) for _ in range(8)]
