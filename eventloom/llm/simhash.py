@@ -103,7 +103,7 @@ def hamming_links(prints: DataFrame, distance: int = 2, segments: int = 2) -> Da
     first = F.lit(True)
     for j in range(segments - 1):
         first &= (F.col("k") <= j) | (F.bit_count(segment(gap, j)) > radius)
-    joined = rows("a", _balls(bits, radius)).join(rows("b", [0]), ["k", "v"])
+    joined = rows("a", _balls(bits, radius)).join(shuffled(rows("b", [0])), ["k", "v"])
     return joined.where((F.col("a") < F.col("b")) & (F.bit_count(gap) <= distance) & first).select("a", "b")
 
 
@@ -118,11 +118,11 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2, segments:
     prints = materialize(fingerprints(docs, words).select("doc_id", "fp0"), "simhash")
     reps = prints.groupBy(F.col("fp0").alias("fp")).agg(F.min("doc_id").alias("rep"))
     roots = connected_components(hamming_links(reps.select("fp"), distance, segments).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = roots.join(reps, roots.node == reps.fp)
+    named = roots.join(shuffled(reps), roots.node == reps.fp)
     ids = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    near = roots.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
-    names = reps.join(near, "fp", "left").select(F.col("fp").alias("fp0"), F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(names, "fp0").select("doc_id", "fp0", "component_id")
+    near = roots.join(shuffled(ids), "root").select(F.col("node").alias("fp"), "component_id")
+    names = reps.join(shuffled(near), "fp", "left").select(F.col("fp").alias("fp0"), F.coalesce("component_id", "rep").alias("component_id"))
+    return prints.join(shuffled(names), "fp0").select("doc_id", "fp0", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

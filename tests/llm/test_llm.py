@@ -529,6 +529,13 @@ def test_keep_one_broadcasts_nothing(spark, monkeypatch):
     assert any("SortMergeJoin" in p for p in kept) and not any("BroadcastHashJoin" in p for p in kept)
 
 
+def test_simhash_broadcasts_nothing(spark, monkeypatch):
+    monkeypatch.setattr(common, "_FEW", 0, raising=False)
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine ten {i % 7} {'x ' * (i % 3)}") for i in range(60)], "doc_id long, text string")
+    found = plans_run(spark, lambda: simhash.simhash_groups(docs).collect())
+    assert any("SortMergeJoin" in p for p in found) and not any("BroadcastHashJoin" in p for p in found)
+
+
 def test_keep_one_of_each_group(spark, odd, none):
     rng = np.random.default_rng(9)
     base = [" ".join(f"{w}" for w in rng.integers(0, 5000, 120)) for _ in range(8)]
