@@ -91,7 +91,7 @@ class Unigram:
         breaks = "" if any("\n" in p for p in plain) else "\n"
         self.units = re.compile(rf" +[^ {breaks}]*|[^ {breaks}]+" + (r"|\n" if breaks else "")) if not inner else re.compile(r"[\s\S]+")
         self.lists = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist()
-        self.table: dict[bytes, tuple[bytes, float]] = {}
+        self.table: dict[str, tuple[bytes, float]] = {}
 
     @classmethod
     def load(cls, path: str) -> Unigram:
@@ -173,32 +173,31 @@ class Unigram:
             out.append((ids[::-1], float(best[k, len(u)])))
         return out
 
-    def _learn(self, units: list[bytes]) -> None:
+    def _learn(self, texts: list[str]) -> None:
         if len(self.table) > 800_000:
             self.table.clear()
+        units = {t.encode("utf-8", "surrogatepass"): t for t in texts}
         short = sorted((u for u in units if len(u) <= _LONG), key=len)
         for k in range(0, len(short), 20_000):
             part = short[k : k + 20_000]
-            self.table.update((u, (array("i", ids).tobytes(), score)) for u, (ids, score) in zip(part, self.viterbi_many(part), strict=True))
+            self.table.update((units[u], (array("i", ids).tobytes(), score)) for u, (ids, score) in zip(part, self.viterbi_many(part), strict=True))
         for u in units:
             if len(u) > _LONG:
                 ids, score = self.viterbi(u)
-                self.table[u] = (array("i", ids).tobytes(), score)
+                self.table[units[u]] = (array("i", ids).tobytes(), score)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, float]]:
         """(ids, score) of each text. A space is put before a text that is not empty; spaces become the pieces' white-space marker; a
         marker in the text itself is spelt in bytes, so that decoding gives the text again."""
         cut = [self.units.findall(" " + t) if t else [] for t in texts]
-        coded = [[u.encode("utf-8", "surrogatepass") for u in us] for us in cut]
-        new = set().union(*coded)
         if len(self.table) > 800_000:
             self.table.clear()
-        new.difference_update(self.table)
+        new = set().union(*cut).difference(self.table)  # looks up the new ones; an update in place would go through the whole table
         if new:
             self._learn(list(new))
         get = self.table.__getitem__
         out = []
-        for us in coded:
+        for us in cut:
             got = list(map(get, us))
             out.append((np.frombuffer(b"".join([g[0] for g in got]), np.int32), float(sum([g[1] for g in got]))))
         return out
@@ -235,14 +234,15 @@ def _blocks(texts: Iterator[str]) -> Iterator[list[str]]:
 def _encode(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        byte_ids = np.array(sorted(m.byte_set))
+        is_byte = np.zeros(len(m.pieces), bool)
+        is_byte[sorted(m.byte_set)] = True
         for b in batches:
             rows: list[tuple] = []
             ids_out = []
             for block in _blocks(x.as_py() or "" for x in b.column(1)):
                 for t, (ids, score) in zip(block, m.encode(block), strict=True):
                     back = m.decode(ids.tolist())
-                    rows.append((len(ids), int(np.isin(ids, byte_ids).sum()), score, zlib.crc32(ids.astype("<u4").tobytes()), back == t))
+                    rows.append((len(ids), int(np.count_nonzero(is_byte[ids])), score, zlib.crc32(ids.astype("<u4").tobytes()), back == t))
                     if with_ids:
                         ids_out.append(ids)
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()), strict=True)]

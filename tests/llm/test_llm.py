@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import time
 import zlib
 from collections import Counter
 
@@ -447,6 +448,25 @@ def test_viterbi_brute_force():
         assert np.isclose(s, want[0]) and m.viterbi(u.encode()) == (ids, s)
 
 
+def test_sentencepiece_looks_up_new_units_only():
+    m = unigram.Unigram(["", "a", "b", MARK := "\u2581", *(f"<{b}>" for b in range(256))], {b: 4 + b for b in range(256)})
+    assert MARK == unigram.MARK
+
+    def fastest():
+        took = []
+        for _ in range(9):
+            began = time.perf_counter()
+            m.encode(["a b ab"])
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    first = m.encode(["a b ab"])
+    small = fastest()
+    m.table |= {f" {i}": (b"", 0.0) for i in range(500_000)}
+    assert fastest() < 20 * small
+    assert [(ids.tolist(), score) for ids, score in m.encode(["a b ab"])] == [(ids.tolist(), score) for ids, score in first]
+
+
 def test_sentencepiece_round_trip(spark, documents, odd, none):
     coded = unigram.encode(documents)
     assert coded.where("not round_trip").count() == 0
