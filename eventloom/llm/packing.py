@@ -63,6 +63,8 @@ class ChunkEncoder:
         self.pattern = None
         if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and spec["post_processor"] is None:
             self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            # what stands before the run of letters needs an apostrophe: plain letters are one word
+            self.letters = re.match(r"('\w+\|)*\[\\p\{L\}\]\+(\||$)", self.pattern.pattern) is not None
             spec |= {"normalizer": None, "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][1], "added_tokens": []}
             self.single = Tokenizer.from_str(json.dumps(spec))
 
@@ -73,16 +75,19 @@ class ChunkEncoder:
     def _learn(self, chunks: list[str]) -> None:
         if len(self.words) > self.limit:
             self.words.clear()
-        parts, odd = {}, []
+        alone, parts, odd = {}, {}, []
         for c in chunks:
-            if _UNPLAIN.search(c) or "<|" in c:
+            if self.letters and c.isascii() and c.isalpha():
+                alone[c] = c.lower()
+            elif not c.isascii() and _UNPLAIN.search(c) or "<|" in c:
                 odd.append(c)
             else:
                 parts[c] = self.pattern.findall(c.lower())
-        new = list(set().union(*parts.values()).difference(self.words))
+        new = list(set(alone.values()).union(*parts.values()).difference(self.words))
         if new:
             self.words.update(zip(new, self._ids(self.single, new), strict=True))
         word = self.words.__getitem__
+        self.index.update(zip(alone, map(word, alone.values()), strict=True))
         self.index.update({c: b"".join(map(word, p)) for c, p in parts.items()})
         self.index.update(zip(odd, self._ids(self.whole, odd), strict=True))
         if len(self.index) > self.limit:

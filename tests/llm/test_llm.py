@@ -330,6 +330,16 @@ def test_chunks_equal_whole_texts():
     assert list(enc.encode(said * 3)) == want * 3
 
 
+def test_plain_words_need_no_pattern():
+    path = packing.vocabulary_path(packing.VOCABULARY)
+    enc, seen = packing.ChunkEncoder(path), []
+    whole, pattern = enc.whole, enc.pattern
+    enc.pattern = type("Pattern", (), {"findall": lambda self, c: seen.append(c) or pattern.findall(c)})()
+    texts = ["Plain WORDS don't x2 s t re ve", "caf\u00e9 \u0130I words, <|x|> \u017ft \u00aa"]
+    assert [np.frombuffer(b, np.uint32).tolist() for b in enc.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert seen and not any(c.isascii() and c.isalpha() for c in seen)
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(4)
     sizes = rng.integers(1, 60, 300).tolist()
