@@ -167,6 +167,28 @@ def test_line_dedup_odd(odd, none):
     assert by[1]["text"] is None and by[2]["text"] == "" and by[5]["text"] == "" and by[4]["n_removed"] == 0 and by[3]["text"] == " \t\n\n"
 
 
+def test_line_dedup_sets_meet_by_size(spark):
+    """Sets of every size share their rarest word and 80 % at most of the others: those whose sizes cannot match do not meet, and no pair is lost, however
+    the words are dealt to parts."""
+    sizes = list(range(5, 205))
+    data = [(n, n, n, [7, *range(1000, 1000 + n // 5)], True) for n in sizes]
+    sets = spark.createDataFrame(data, "sid long, n int, doc_order long, prefix array<int>, open boolean").withColumns({"bits": F.lit(0).cast("long"), "more": F.lit(None).cast("long")})
+    larger, smaller = linededup._sides(sets, 0.8, 0, 1)
+    at_seven = lambda df, s: df.where(F.col(f"before{s}") == -1)
+    met = at_seven(larger, "_x").join(at_seven(smaller, "_y"), "key").count()
+    want = {(x, y) for x in sizes for y in sizes if y < x and y >= 0.8 * x - 1e-9}
+    assert len(want) < met < 0.35 * len(sizes) ** 2
+    for parts in (1, 3):
+        got = {tuple(r) for k in range(parts) for r in linededup.similar_pairs(sets, 0.8, k, parts).collect()}
+        assert got == want
+
+
+def test_line_dedup_compiles_the_words_of_lines(spark, documents):
+    """Only the lines are exploded: within explode() Spark interprets what it does for each word."""
+    plan = linededup._lines(documents.select("doc_id", "text"), 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and plan.count("Generate ") == 1
+
+
 # --- 3
 
 
