@@ -105,3 +105,22 @@ def test_ragged_pairs(spark):
         return float(np.correlate(b - b.mean(), a - a.mean(), "valid").max() / spread) if spread > 0 else None
 
     same(table(G.ragged_pearson_matrix(df)), brute(traces, best) | none | {(a, 62): None for a in traces})
+
+
+def test_edges_stay_where_they_are(spark, traces):
+    df = frame(spark, traces.items())
+    edges, r = G.pearson_matrix(df, low=0.2), brute(traces, lambda a, b: float(np.corrcoef(a, b)[0, 1]))
+    named = G.map_edges(edges, df.selectExpr("id as i_idx", "id + 1000 as trace_idx"))
+    modules = G.edge_modules(edges, df.selectExpr("id as node", "id % 3 as module"))
+    for d in (named, modules):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    near = {k for k, v in r.items() if v >= 0.2}
+    assert {tuple(x) for x in named.collect()} == {(a + 1000, b + 1000) for a, b in near}
+    assert {(x.i, x.j): x.module for x in modules.collect()} == {(a, b): a % 3 if a % 3 == b % 3 else -1 for a, b in near}
+
+
+def test_histogram_in_blocks(spark, traces):
+    r = np.array(list(brute(traces, lambda a, b: float(np.corrcoef(a, b)[0, 1])).values()))
+    got = dict(tuple(x) for x in G.pearson_histogram(frame(spark, traces.items()), -0.5, 0.5, 7).collect())
+    assert [got[k] for k in range(7)] == np.histogram(r, 7, (-0.5, 0.5))[0].tolist()
