@@ -124,3 +124,60 @@ def test_histogram_in_blocks(spark, traces):
     r = np.array(list(brute(traces, lambda a, b: float(np.corrcoef(a, b)[0, 1])).values()))
     got = dict(tuple(x) for x in G.pearson_histogram(frame(spark, traces.items()), -0.5, 0.5, 7).collect())
     assert [got[k] for k in range(7)] == np.histogram(r, 7, (-0.5, 0.5))[0].tolist()
+
+
+@pytest.mark.parametrize(("cutoff", "few"), [(0.0, 340), (0.6, 340), (9.0, 340), (0.3, 0), (1.1, 150)])
+def test_average_clusters_as_linkage(spark, cutoff, few, monkeypatch):
+    monkeypatch.setattr(G, "FEW_ITEMS", few)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(340, 3))
+    points[40:60] = points[20]  # copies of one
+    points[60:90] = points[7] + rng.normal(scale=0.01, size=(30, 3))
+    df = frame(spark, [(int(k) * 3, points[k]) for k in rng.permutation(340)])
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    got = dict(tuple(r) for r in G.average_clusters(df, cutoff).collect())
+    assert [got[3 * k] for k in range(340)] == K.flat_clusters(K.linkage(d), 340, cutoff).tolist()
+
+
+def test_average_clusters_of_odd_rows(spark):
+    got = dict(tuple(r) for r in G.average_clusters(frame(spark, [(4, [1, 1]), (2, None), (9, [1, 2]), (5, [1]), (7, [1, None]), (8, [9, 9])]), 1.5).collect())
+    assert got == {2: 1, 4: 2, 9: 2, 5: 3, 7: 4, 8: 5}
+
+
+def slow_modularity(edges):
+    """As the definition says: the best of all pairs, each time."""
+    nodes = sorted({n for e in edges for n in e})
+    group, m = {n: {n} for n in nodes}, len(edges)
+    degree = {n: sum(n in e for e in edges) for n in nodes}
+    while True:
+        best = (1e-15, 0, 0)
+        for u in group:
+            for v in group:
+                w = sum((a in group[u] and b in group[v]) or (b in group[u] and a in group[v]) for a, b in edges)
+                if u < v and w:
+                    gain = w / m - 2 * sum(degree[n] for n in group[u]) * sum(degree[n] for n in group[v]) / (4 * m * m)
+                    best = max(best, (round(gain, 12), -u, -v))
+        if best[0] <= 1e-15:
+            return {n: min(g) for g in group.values() for n in g}
+        group[-best[1]] |= group.pop(-best[2])
+
+
+def test_modularity_by_heap():
+    rng = np.random.default_rng(8)
+    for _ in range(4):
+        edges = sorted({(int(min(e)), int(max(e))) for e in rng.integers(0, 24, (45, 2)) if e[0] != e[1]})
+        want, got = slow_modularity(edges), K.modularity_communities(edges)
+        first = {}
+        for n in sorted(got):
+            first.setdefault(got[n], n)
+        assert {n: first[c] for n, c in got.items()} == want
+
+
+def test_modularity_is_not_quadratic():
+    import time
+
+    n = 6000
+    edges = [(k, k + 1) for k in range(n)] + [(k, k + 5) for k in range(0, n, 5)]
+    began = time.time()
+    got = K.modularity_communities(edges)
+    assert len(got) == len({n for e in edges for n in e}) and time.time() - began < 10
