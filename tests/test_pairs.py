@@ -181,3 +181,9 @@ def test_modularity_is_not_quadratic():
     began = time.time()
     got = K.modularity_communities(edges)
     assert len(got) == len({n for e in edges for n in e}) and time.time() - began < 10
+
+
+def test_communities_of_many_components(spark):
+    edges = [(9 * k + a, 9 * k + b) for k in range(40) for a, b in ((0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (3, 5), (4, 5))]
+    got = dict(tuple(r) for r in G.communities(spark.createDataFrame(edges, "i long, j long").repartition(3)).collect())
+    assert got == {9 * k + n: 9 * k + (0 if n < 3 else 3) for k in range(40) for n in range(6)}
